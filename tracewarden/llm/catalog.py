@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_classifier, quality_rules, toxicity
 
 _QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
 }
 _ORACLES = {

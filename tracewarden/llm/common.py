@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows per Arrow batch for Python stages; long texts make the default of 10,000 too large.
 ARROW_ROWS = 256
+ARROW_BYTES = 4 << 20
 #: ASCII white space, the complement of word characters in all contracts here.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -21,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so a Python worker holds a bounded number of texts."""
+    """Keep Arrow batches small in rows and bytes, so a Python worker holds a bounded amount of text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,21 @@ def id_remainder(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(mod))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, held_out: int, most_rows: int, most_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled training texts (id, text, y), most_rows at most: those whose ids hash lowest. Written, so that it is read once.
+
+    Rows with crc32(id) mod `mod` = held_out never enter, nor null or contradictory labels, nor texts over most_chars.
+    """
+    marks = labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull() & (id_remainder(F.col(id_col), mod) != held_out))
+    marks = marks.groupBy(id_col).agg(F.min(target).alias("y"), F.max(target).alias("__other")).filter("y = __other").drop("__other")
+    # The ids alone are ordered and cut; at most most_rows of them are broadcast.
+    chosen = marks.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most_rows)
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if most_chars is not None:
+        texts = texts.filter(F.length("text") <= most_chars)
+    return written(texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "text", F.col("y").cast("int").alias("y")), "labelled")
+
+
 def key_bitmap(keys: DataFrame, key: str, most_bits: int = 1 << 27) -> tuple[DataFrame, int]:
     """A bit filter of the hashed keys, as 4 KB rows (bucket, bits), and its number of bits.
 
