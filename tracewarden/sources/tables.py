@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,8 +50,20 @@ def replace_table(df: DataFrame, name: str) -> None:
 
 
 def dimension(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table from literals."""
-    return spark.createDataFrame(rows, schema)
+    """A small table from literals, which the optimiser knows whole: no Python process, and its true size for joins."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT {', '.join(f'CAST(col{i} AS {kind}) AS `{name}`' for i, (name, kind) in enumerate(fields, 1))} FROM VALUES {cells}")
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
 def append_history(df: DataFrame, path: str) -> None:
@@ -62,3 +76,21 @@ def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a fresh place in the session's shared folder (spark.checkpoint.dir; a local one where unset) and read again.
+
+    Cuts the lineage of loops with one job, and survives lost executors.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        sc.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
