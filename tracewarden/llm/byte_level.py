@@ -9,7 +9,7 @@ import public_tokenizers
 import regex
 
 #: Words that a memo holds in each of its two generations.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 
 class Memo(dict):
