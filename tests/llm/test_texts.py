@@ -101,6 +101,12 @@ def test_rules_remove_lines_and_documents(make):
     assert not got[2]["kept"] and got[2]["n_dup_lines"] == 29
 
 
+def test_rules_take_very_long_words(make):
+    texts = ["x" * 400_000, " ".join(["x" * 50_000] * 8), "  " + "a " * 8, "  " + "a " * 7]
+    got = {r["doc_id"]: r["n_lines_removed"] for r in quality_rules.quality_rules(make(texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 # Mixing
 
 

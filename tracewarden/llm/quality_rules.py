@@ -16,7 +16,7 @@ from .common import SPACE, table
 SYMBOL_RUNS = r"([#*$%&]{3}[^#*$%&]*){3}"
 EXCLAIMS = r"(!![^!]*){5}"
 CAPITALS = r"[A-Z][^a-z]{39}"
-EIGHT_WORDS = r"([^ ]+ +){7}[^ ]"
+EIGHT_WORDS = r"^ *([^ ]+ +){7}[^ ]"  # anchored: one attempt a line, so a very long word takes linear time
 STOP = r"[.!?;:,。！？、…]"
 #: Navigation: three separators between labels.
 NAVIGATION = r"([|>»·][^|>»·]*){3}"
