@@ -48,6 +48,7 @@ def test_other_vocabularies():
 def test_memo_is_bounded():
     memo = token_counts.Memo(len, most=3)
     assert [memo["x" * i] for i in (1, 2, 3, 4, 1, 2)] == [1, 2, 3, 4, 1, 2] and len(memo) <= 3
+    assert memo["x" * 1000] == 1000 and "x" * 1000 not in memo and "x" * 1000 not in memo.old
 
 
 def test_operators_on_odd_rows(odd, library):

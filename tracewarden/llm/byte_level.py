@@ -10,6 +10,8 @@ import regex
 
 #: Words that a memo holds in each of its two generations.
 REMEMBERED = 200_000
+#: Longer words are made anew each time, so that a memo's bytes are bounded too.
+LONGEST = 128
 
 
 class Memo(dict):
@@ -23,6 +25,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > LONGEST:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

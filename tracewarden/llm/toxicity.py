@@ -117,7 +117,7 @@ class Model:
 
 
 class Matcher:
-    """Runs the grammar over texts; word weights are remembered up to a fixed number of words."""
+    """Runs the grammar over texts; weights are remembered for a fixed number of words of at most 128 characters."""
 
     def __init__(self, model: Model):
         self.model, self.arcs, self.known = model, grammar(), {}
@@ -129,7 +129,9 @@ class Matcher:
         if w is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            w = self.known[word] = 3.0 if self.symbol.get(word) == THREAT else self.model.weight(word)
+            w = 3.0 if self.symbol.get(word) == THREAT else self.model.weight(word)
+            if len(word) <= 128:
+                self.known[word] = w
         return w
 
     def clause(self, words: list[str]) -> float:
