@@ -71,6 +71,16 @@ def test_nearest_origin_and_archived_models(spark, sf_dir):
     assert {r["version"] for r in governance.violations(spark).filter("model = 'value-classifier'").collect()} == {"2"}
 
 
+def test_blast_radius_goes_on_from_tables_where_a_column_ends(spark, sf_dir):
+    warehouse.build(spark, sf_dir)
+    assert got(governance.blast_radius(spark, "stg_region", "region_name"), "name", "kind", "degree", "via", "serving") == [
+        ("dim_order", "dataset", 1, None, False), ("value-classifier_1", "model", 3, "dim_order", False), ("value-classifier_2", "model", 3, "dim_order", True),
+    ]
+    # A column that no other table takes reaches only models of its own table.
+    assert governance.blast_radius(spark, "dim_order", "region_name").count() == 0
+    assert got(governance.blast_radius(spark, "value_features", "high_value"), "name", "degree", "via") == [("value-classifier_1", 1, "value_features"), ("value-classifier_2", 1, "value_features")]
+
+
 def test_policy(spark):
     basis = {(r["regime"], r["attribute"]): r["basis"] for r in policy.resolved(spark).collect()}
     assert basis["ecoa", "age"] == "conditional" and basis["canada", "age"] == "prohibited" and ("ecoa", "disability") not in basis

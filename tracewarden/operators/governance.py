@@ -63,13 +63,18 @@ def warnings(spark: SparkSession) -> DataFrame:
 def blast_radius(spark: SparkSession, table: str, column: str, depth: int = DEPTH) -> DataFrame:
     """What a change of one column reaches: (kind, name, degree, via, serving), deployed models first.
 
-    Columns are followed to the tables where they land; models count from there, with the least sum of hops.
+    Columns are followed to the tables where they land, and from each of these, tables to models; a model has the least sum
+    of both walks. Ties in `via` go to the table where the column lands last, then to the first by name. Models trained on
+    the column's own table count as well.
     """
     seed = dimension(spark, [(f"{table}.{column}",)], "seed string")
     landed = reach(estate.flipped(estate.upward(estate.edges(spark))), depth, seed).select(F.split("node", r"\.")[0].alias("name"), "hops").groupBy("name").agg(F.min("hops").alias("degree"))
-    start = landed.unionByName(dimension(spark, [(table, 0)], "name string, degree int"))
-    versions = estate.models(spark).select(F.concat_ws("_", "model", "version").alias("name"), "feature_table", F.col("stage").isin(*estate.SERVING).alias("serving"))
-    hit = versions.join(start.withColumnRenamed("name", "feature_table"), "feature_table").groupBy("name", "serving").agg(F.min_by("feature_table", F.struct("degree", "feature_table")).alias("via"), (F.min("degree") + 1).alias("degree"))
+    onward = reach(estate.table_edges(spark), depth, landed.select(F.col("name").alias("seed"))).select(F.col("seed").alias("via"), F.col("node").alias("name"), "hops")
+    onward = onward.join(landed.withColumnRenamed("name", "via"), "via").select("name", "via", "degree", (F.col("degree") + F.col("hops")).alias("total"))
+    own = estate.table_edges(spark).filter(F.col("src") == table).select(F.col("dst").alias("name"), F.lit(table).alias("via"), F.lit(0).alias("degree"), F.lit(1).alias("total"))
+    versions = estate.models(spark).select(F.concat_ws("_", "model", "version").alias("name"), F.col("stage").isin(*estate.SERVING).alias("serving"))
+    nearest = F.min_by("via", F.struct("total", -F.col("degree"), "via"))
+    hit = versions.join(onward.unionByName(own), "name").groupBy("name", "serving").agg(nearest.alias("via"), F.min("total").alias("degree"))
     out = landed.select(F.lit("dataset").alias("kind"), "name", "degree", F.lit(None).cast("string").alias("via"), F.lit(False).alias("serving"))
     return out.unionByName(hit.select(F.lit("model").alias("kind"), "name", "degree", "via", "serving")).orderBy(F.desc("serving"), "degree", "name")
 
