@@ -172,6 +172,25 @@ def test_stream_of_recordings(spark, tmp_path):
     assert got(spark.read.parquet(made), "grp", "delta", "status") == [("g", 0.1, "fires")]
 
 
+def test_stream_compares_within_a_batch_with_an_older_history_and_after_a_rerun(spark, tmp_path):
+    incoming, history, made = f"file://{tmp_path}/in", f"file://{tmp_path}/history", f"file://{tmp_path}/findings"
+    put = lambda rows, at: tables.dimension(spark, [("m", seq, "c", "g", auc, 0.001) for seq, auc in rows], recordings.SCHEMA).coalesce(1).write.mode("append").parquet(at)
+
+    def run():
+        q = recordings.watch(spark, incoming, history, made, f"file://{tmp_path}/at")
+        q.processAllAvailable()
+        q.stop()
+        return got(spark.read.parquet(made), "seq", "delta")
+
+    put([(1, 0.5)], history)
+    put([(2, 0.6), (3, 0.7), (4, 0.6), (6, 0.6)], incoming)
+    assert run() == [(2, 0.1), (3, 0.1), (4, -0.1)]
+    # The next batch has written its history before it failed; one of its rows is late.
+    put([(5, 0.8), (7, 0.65)], f"{history}/batch=1")
+    put([(5, 0.8), (7, 0.65)], incoming)
+    assert run() == [(2, 0.1), (3, 0.1), (4, -0.1), (5, 0.2), (7, 0.05)]
+
+
 def test_serving_version_is_the_newest_by_number(spark):
     assert estate.production(spark, "value-classifier").first()["version"] == "2"
     assert estate.production(spark, "size-classifier").count() == 0

@@ -73,6 +73,11 @@ def compare(previous: DataFrame, current: DataFrame) -> DataFrame:
     key = ["model", "column_name", "grp"]
     side = lambda df, s: df.select(*key, F.col("auc").alias(f"auc_{s}"), F.col("auc_stdev").alias(f"sd_{s}"))
     out = side(previous, "was").join(side(current, "now"), key, "full")
+    return judged(out, key)
+
+
+def judged(out: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., delta, threshold, multiples_of_noise, status) of rows with auc_was, sd_was, auc_now and sd_now."""
     delta = F.col("auc_now") - F.col("auc_was")
     noise = F.greatest((F.col("sd_was") + F.col("sd_now")) / 2, F.lit(FLOOR))
     threshold = F.greatest(F.lit(LEAST_CHANGE), NOISES * noise)

@@ -1,11 +1,11 @@
-"""Recordings as a stream: each arriving measurement is held against the one before it of the same model and group."""
+"""Recordings as a stream: each arriving measurement is held against the one before it of the same model, column and group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.measure import compare
+from ..operators.measure import judged
 
 SCHEMA = "model string, seq long, column_name string, grp string, auc double, auc_stdev double"
 
@@ -13,19 +13,33 @@ SCHEMA = "model string, seq long, column_name string, grp string, auc double, au
 def watch(spark: SparkSession, incoming: str, history: str, findings: str, checkpoint: str):
     """Starts a query over Parquet files that arrive in `incoming`; every batch is compared with the history and joins it.
 
-    Findings are rows of measure.compare that fire. A batch that runs again after a failure overwrites its own output.
+    Each row of a batch is held against the one before it by seq, in the history or in the same batch. Findings are the
+    rows of measure.judged that fire, with their seq. A batch that runs again after a failure overwrites its own output and
+    does not see it; without its checkpoint, a stream reads `incoming` anew from batch 0 on.
     """
     stream = spark.readStream.schema(SCHEMA).parquet(incoming)
+    key = ["model", "column_name", "grp"]
 
     def batch(df: DataFrame, number: int) -> None:
-        before = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(history) if number and _exists(spark, history) else spark.createDataFrame([], SCHEMA)
-        newest = lambda x: x.groupBy("model", "column_name", "grp").agg(F.max_by(F.struct("auc", "auc_stdev"), "seq").alias("m")).select("model", "column_name", "grp", "m.*")
-        compare(newest(before.filter(F.col("seq").isNotNull())), newest(df)).filter("status = 'fires'").write.mode("overwrite").parquet(f"{findings}/batch={number}")
+        before = _history(spark, history, number).join(df.select(*key).distinct(), key, "left_semi")
+        rows = before.withColumn("fresh", F.lit(False)).unionByName(df.withColumn("fresh", F.lit(True))).filter("seq IS NOT NULL")
+        earlier = Window.partitionBy(*key).orderBy("seq", "fresh", "auc", "auc_stdev")
+        pairs = rows.select(*key, "seq", "fresh", F.lag("auc").over(earlier).alias("auc_was"), F.lag("auc_stdev").over(earlier).alias("sd_was"), F.col("auc").alias("auc_now"), F.col("auc_stdev").alias("sd_now"))
+        judged(pairs.filter("fresh"), [*key, "seq"]).filter("status = 'fires'").write.mode("overwrite").parquet(f"{findings}/batch={number}")
         df.write.mode("overwrite").parquet(f"{history}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
+def _history(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """All rows of the history but those in the folders of this batch and later ones."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], SCHEMA)
+    found = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(path)
+    at = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/[^/]*$", 1)
+    return found.filter((at == "") | (at.cast("long") < number))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
