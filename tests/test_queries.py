@@ -36,3 +36,13 @@ def test_oracle(spark, sf_dir, duck, name):
 
 def test_boosted_trees_find_the_planted_proxy(spark, sf_dir):
     assert catalog.QUERIES["reconstruct_gbt"](spark, sf_dir).first()["auc"] > 0.7
+
+
+def test_boosted_trees_take_every_testable_group_and_the_serving_features(spark, sf_dir):
+    found = catalog.QUERIES["reconstruct_gbt"](spark, sf_dir, rounds=1, seeds=[17]).collect()
+    groups = [("segment", g) for g in ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")] + [("status_code", g) for g in "FP"]
+    assert sorted((r["column_name"], r["grp"]) for r in found) == groups
+    _, features, _ = catalog._serving_frame(spark)
+    assert features == ["market_code", "origin_name", "status_code", "priority_code", "account_balance_usd"]
+    # status_code is its own target there and must not be among what rebuilds it.
+    assert all(r["auc"] < 0.9 for r in found if r["column_name"] == "status_code")

@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from .functions import names
 from .operators import estate, governance, graph, identify, measure, policy, warehouse
-from .sources.tables import dimension, parquet, select_available
+from .sources.tables import dimension, parquet, select_available, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEEDS = [17, 18, 19]
 FEATURES = ["status_code", "priority_code", "origin_name", "proxy"]
 REFERENCE = "BUILDING"
+#: Boosting rounds, as the reference has them.
+ROUNDS = 150
 
 
 def query(f):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         warehouse.build(spark, sf_dir)
-        return f(spark)
+        return f(spark, **options)
 
     QUERIES[f.__name__] = run
     return f
@@ -352,20 +354,65 @@ def features_gained_lost(spark):
     return lists.select("model", F.concat_ws(",", F.array_except(split("now"), split("was"))).alias("gained"), F.concat_ws(",", F.array_except(split("was"), split("now"))).alias("lost"))
 
 
+def _serving_frame(spark, model="value-classifier"):
+    """(frame, features, tests): training rows of the serving version with `target_<column>` of every attribute that a
+    regime restricts and that can be tested, and (column, reference, group) for each group that occurs."""
+    version = estate.production(spark, model).first()
+    features = [c for c in version["features"].split(",") if c in spark.table(version["feature_table"]).columns]
+    held = policy.resolved(spark).join(policy.untestable(spark), ["regime", "attribute"], "left_anti").select("attribute", "column", "reference").distinct()
+    dim = spark.table("dim_order")
+    held = sorted(tuple(r) for r in held.collect() if r["column"] in dim.columns)
+    columns = sorted({c for _, c, _ in held})
+    answers = dim.select("order_id", *[F.col(c).cast("string").alias(f"target_{c}") for c in columns])
+    frame = written(spark.table(version["feature_table"]).select("order_id", *features).join(answers, "order_id").withColumnRenamed("order_id", "key"))
+    codes = {(c, str(code)) for a, c, _ in held for code in policy.declared()[a]["categories"]}
+    found = frame.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"target_{c}"))])).alias("c", "v")).distinct()
+    found = found.join(dimension(spark, sorted(codes), "c string, v string"), ["c", "v"], "left_semi")
+    present = {tuple(r) for r in found.collect()}
+    tests = [(c, ref, v) for _, c, ref in held for at, v in sorted(present) if at == c and v != ref and (c, ref) in present]
+    return frame, features, tests
+
+
 @query
-def reconstruct_gbt(spark):
-    """The same question put to boosted trees of Spark's own library; rounds are few, and rows need no oracle."""
+def reconstruct_gbt(spark, rounds=ROUNDS, seeds=SEEDS):
+    """The question put to boosted trees of Spark's own library: every testable attribute, group and seed, highest first.
+
+    Only the target itself is left out of the serving version's features, not columns that hold it under other names.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    frame = _frame(spark).filter("grp = 'AUTOMOBILE'")
-    test = measure.is_test(F.lit(SEEDS[0]), F.col("key"))
-    steps = [StringIndexer(inputCol=f, outputCol=f"{f}_i", handleInvalid="keep") for f in FEATURES]
-    steps += [VectorAssembler(inputCols=[f"{f}_i" for f in FEATURES], outputCol="features"), GBTClassifier(labelCol="y", maxIter=5, stepSize=0.1, seed=SEEDS[0], maxBins=64)]
-    fitted = Pipeline(stages=steps).fit(frame.filter(~test)).transform(frame.filter(test))
-    return measure.auc(fitted.select("y", F.round(vector_to_array("probability")[1], 9).alias("score")).withColumn("grp", F.lit("AUTOMOBILE")), ["grp"])
+    frame, features, tests = _serving_frame(spark)
+    text = {c for c, kind in frame.dtypes if kind == "string"}
+    prepared = {}
+    for column in {c for c, _, _ in tests}:
+        used = [f for f in features if f != column]
+        steps = [StringIndexer(inputCol=f, outputCol=f"{f}_i", handleInvalid="keep") for f in used if f in text]
+        steps.append(VectorAssembler(inputCols=[f"{f}_i" if f in text else f for f in used], outputCol="features", handleInvalid="keep"))
+        ready = Pipeline(stages=steps).fit(frame).transform(frame)
+        prepared[column] = written(ready.select("key", F.col(f"target_{column}").alias("value"), "features"))
+
+    def scored(job):
+        (column, reference, grp), seed = job
+        rows = prepared[column].filter(F.col("value").isin(reference, grp)).withColumn("y", (F.col("value") == grp).cast("int"))
+        test = measure.is_test(F.lit(seed), F.col("key"))
+        fitted = GBTClassifier(labelCol="y", maxIter=rounds, stepSize=0.1, seed=seed, maxBins=64).fit(rows.filter(~test)).transform(rows.filter(test))
+        out = fitted.select(F.lit(column).alias("column_name"), F.lit(grp).alias("grp"), F.lit(seed).alias("seed"), "y", F.round(vector_to_array("probability")[1], 9).alias("score"))
+        return written(out)
+
+    # Fits wait for many small jobs each, so several run at once.
+    with ThreadPool(6) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(scored), [(t, s) for t in tests for s in seeds], 1)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    by = ["column_name", "grp"]
+    return measure.over_seeds(measure.auc(every, [*by, "seed"]), by).orderBy(F.desc("auc"), *by)
 
 
 def _over_files(name):
