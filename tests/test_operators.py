@@ -81,6 +81,14 @@ def test_blast_radius_goes_on_from_tables_where_a_column_ends(spark, sf_dir):
     assert got(governance.blast_radius(spark, "value_features", "high_value"), "name", "degree", "via") == [("value-classifier_1", 1, "value_features"), ("value-classifier_2", 1, "value_features")]
 
 
+def test_phantoms_are_found_however_far_up(spark, monkeypatch):
+    names = ["value_features", *[f"dim_order_{i}" for i in range(1, 34)], "nowhere"]
+    chain = tables.dimension(spark, [(up, down) for down, up in zip(names, names[1:])] + [("value_features", "nowhere")], "src string, dst string")
+    monkeypatch.setattr(estate, "table_edges", lambda _: chain)
+    monkeypatch.setattr(estate, "datasets", lambda _: tables.dimension(spark, [(n, "mart") for n in names[:-1]], "name string, layer string"))
+    assert got(governance.warnings(spark).filter("warning = 'no such table'"), "model", "table_name") == [("value-classifier", "nowhere")]
+
+
 def test_policy(spark):
     basis = {(r["regime"], r["attribute"]): r["basis"] for r in policy.resolved(spark).collect()}
     assert basis["ecoa", "age"] == "conditional" and basis["canada", "age"] == "prohibited" and ("ecoa", "disability") not in basis

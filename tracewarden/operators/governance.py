@@ -55,7 +55,7 @@ def warnings(spark: SparkSession) -> DataFrame:
     """(model, table_name, warning): serving models without a training table, and tables that edges name but nobody has."""
     served = estate.serving(spark).select("model", "feature_table")
     none = served.filter("feature_table IS NULL").select("model", F.lit(None).cast("string").alias("table_name"), F.lit("no training table").alias("warning"))
-    up = reach(estate.flipped(estate.table_edges(spark)), 32).select(F.col("seed").alias("feature_table"), F.col("node").alias("table_name"))
+    up = reach(estate.flipped(estate.table_edges(spark)), None).select(F.col("seed").alias("feature_table"), F.col("node").alias("table_name"))
     phantom = served.join(up, "feature_table").join(estate.datasets(spark).withColumnRenamed("name", "table_name"), "table_name", "left_anti")
     return none.unionByName(phantom.select("model", "table_name", F.lit("no such table").alias("warning")).distinct())
 

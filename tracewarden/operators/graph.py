@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
 
-def reach(edges: DataFrame, depth: int, seeds: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, depth: int | None, seeds: DataFrame | None = None) -> DataFrame:
     """(seed, node, hops): nodes that each seed reaches along edges (src, dst), with the least number of hops, without itself.
 
-    Cycles end where nothing new is found, at the latest after `depth` hops. Without seeds, every src is one.
+    Cycles end where nothing new is found, at the latest after `depth` hops (None: no bound). Without seeds, every src is one.
     """
     edges = edges.select("src", "dst").filter("src <> dst").distinct()
     seeds = edges.select("src").distinct().withColumnRenamed("src", "seed") if seeds is None else seeds.select("seed").distinct()
     # Hops are written one by one, so that plans stay short; what has been seen is their union.
     seen = frontier = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"))
     edges = written(edges)
-    for hop in range(1, depth + 1):
+    for hop in count(1) if depth is None else range(1, depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
