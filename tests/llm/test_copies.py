@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracewarden.llm import exact_dedup, near_dedup
+from tracewarden.llm import common, exact_dedup, near_dedup
 from tracewarden.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,8 +62,10 @@ def expected(rows, n):
 
 
 def test_near_against_brute_force(spark, make, monkeypatch):
-    """Chains of edits (neighbours link, ends do not), a shared passage, copies, and buckets of several blocks."""
+    """Chains of edits (neighbours link, ends do not), a shared passage, copies, and buckets of several blocks, wide ones too."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", 12)
+    monkeypatch.setattr(common, "HOT", 6)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = []
@@ -84,6 +86,42 @@ def test_near_against_brute_force(spark, make, monkeypatch):
         assert all(r["kept"] == (want[i] == i) and r["n_shingles"] == len(shingle_set(texts[i], n)) for i, r in got.items())
 
 
+def test_near_buckets_of_many_unlike_members(make, monkeypatch):
+    """Thousands share a passage but are unlike; a template's copies link to it alone; a few real pairs hide among them."""
+    monkeypatch.setattr(near_dedup, "WIDE", 200)
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    asked = []
+    whole = near_dedup._Search.tiles
+    monkeypatch.setattr(near_dedup._Search, "tiles", lambda self, rows: asked.append(rows.agg(F.max("n")).first()[0]) or whole(self, rows))
+    rng = random.Random(11)
+    own = lambda k, n: [f"{k}x{i}" for i in range(n)]
+    passage = own("p", 60)
+    texts = [" ".join(passage + own(k, 40)) for k in range(2500)]
+    texts += [t.replace("x7 ", "y ") for t in texts[100:2500:400]]
+    template = own("t", 120)
+    for k in range(300):
+        copy = list(template)
+        for i in rng.sample(range(5, 115, 5), 3):
+            copy[i] = f"{k}z{i}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(template))
+    order = rng.sample(range(len(texts)), len(texts))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(make([(i, texts[i], "s") for i in order]), 4).collect()}
+    sets = [shingle_set(t, 4) for t in texts]
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    # Unlike by their own words; only the altered ones can link, and each copy of the template to it or to others.
+    links = [(100 + 400 * k, 2500 + k) for k in range(6)] + [(a, len(texts) - 1) for a in range(2506, 2806)]
+    assert all(similar(a, b) for a, b in links) and not similar(0, 1) and len(texts) == 2807
+    assert got == brute_components(range(len(texts)), links) and asked and asked[0] > 64
+
+
+def test_near_ids_with_several_texts(make):
+    """An id that repeats with texts of two classes joins them, though it represents neither."""
+    one, two = "a b c d e f g h", "i j k l m n o p"
+    got = near_dedup.near_duplicates(make([(5, one, "s"), (6, two, "s"), (9, one, "s"), (9, two, "s"), (9, "", "s"), (4, "", "s")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(4, 4), (5, 5), (6, 5), (9, 5), (9, 5), (9, 5)]
+
+
 def test_near_odd_rows(odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
