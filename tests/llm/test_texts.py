@@ -154,7 +154,39 @@ def test_pivot_is_unbiased_and_keeps_words():
     assert np.abs(total / 4000 - share).max() < 0.03
 
 
+def test_pool_is_unbiased_and_leaves_a_small_one():
+    rng = np.random.default_rng(0)
+    sizes, total = np.sort(np.ceil(np.exp(rng.normal(4, 1, 300))))[::-1], np.zeros(300)
+    for seed in range(3000):
+        share, held = mixing.pool(sizes, 0.4, np.random.default_rng(seed))
+        assert share @ sizes == pytest.approx(0.4 * sizes.sum()) and (held is None or sizes[held] <= 0.005 * sizes.sum())
+        total += share
+    assert np.abs(total / 3000 - 0.4).max() < 0.05
+
+
+@pytest.mark.parametrize("n", [5, 50, 500])
+def test_pool_makes_good_for_one_very_long_document(n):
+    """Whole targets with a document of twice the words of all others, for ten seeds: within 1 %, of five within a short document."""
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        sizes = np.sort(np.append(rng.integers(20, 300, n - 1), 320 * (n - 1)).astype(float))[::-1]
+        share = float(rng.uniform(0.02, 0.3))
+        got, held = mixing.pool(sizes, share, rng)
+        if held is not None:
+            got[held] = round(got[held])
+        assert abs(got @ sizes - share * sizes.sum()) <= (sizes[1] if n == 5 else 0.01 * sizes.sum()) and set(got) <= {0.0, 1.0}
+
+
+def test_every_source_meets_its_target(spark):
+    """Sources of about fifty documents, some with one of very many words."""
+    rows = mixing.query(spark, BIG).toPandas().merge(table(spark, BIG, "documents").select("doc_id", "source").toPandas(), on="doc_id")
+    for _, g in rows.groupby("source"):
+        assert abs(g["taken"].sum() / g["target"].iloc[0] - 1) < 0.01
+
+
 def test_mixing_odd_rows(odd):
+    clash = odd.withColumns({"size": F.lit("mine"), "__row": F.lit(1), "__key": F.lit(2), "Target": F.lit(3), "ratio": F.lit(4), "a.b": F.lit(5)})
+    assert mixing.mix(clash).filter("__row = 1 AND ratio = 4 AND `a.b` = 5").count() == odd.count()
     got = mixing.mix(odd.withColumn("size", F.lit("mine"))).collect()
     assert len(got) == odd.count() and mixing.mix(odd.limit(0)).count() == 0
     assert all(r["copies"] == 1 and r["taken"] == 0 for r in got if r["doc_id"] in (1, 2, 3))

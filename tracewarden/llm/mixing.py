@@ -1,10 +1,13 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Every document shall be copied target / source_size times, its source's ratio. The whole part is given at once; the
-fractional parts are rounded in pairs: two documents of a source trade expected words at random until one of the two
-has 0 or 1 copies, so expectations hold and the source's words stay as they are. Documents are dealt over leaves by a
-hash; each leaf leaves one fractional document, and these residuals are combined level by level in a tree, to the last
-one of each source, which is rounded alone.
+fractional parts are rounded by trading expected words at random until somebody has 0 or 1 copies, so expectations hold
+and the source's words stay as they are. Documents are dealt over leaves by a hash. In a leaf, all of the same share,
+each document trades with all smaller ones together, the largest first, so that a leaf leaves one of its smallest ones
+fractional; these residuals are combined level by level in a tree, in pairs, to the last one of each source, which is
+rounded alone. Where a document with a fair part of its leaf's words is so large that only one of its two numbers of
+copies leaves the smaller ones able to make good for it, it gets that one: there the target counts for more than its own
+expectation.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, python_batches, table, written
+from .common import WORD, python_batches, quoted, table, unused, written
 
 #: Weights of the sources by code point, repeating; nulls come last.
 WEIGHTS = (3, 1, 2)
@@ -25,6 +28,8 @@ SHARE, MOST = 1.5, 2.0
 #: Documents of a leaf, and residuals that one node of the tree combines.
 LEAF, FAN = 1024, 32
 SEED = 17
+#: Share of a leaf's words from which a document may not be left fractional where that can be avoided.
+MATTERS = 0.005
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -46,8 +51,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return out.drop("__w", "__cap", "__rate")
 
 
+def trade(i: float, size_i: float, j: float, size_j: float, rng: np.random.Generator) -> tuple[float, float]:
+    """Two shares after words moved between them, one for one, until one of the two is 0 or 1; expectations stay."""
+    gain = min((1 - i) * size_i, j * size_j)  # words that may go from j to i
+    loss = min(i * size_i, (1 - j) * size_j)
+    moved = gain if rng.random() * (gain + loss) < loss else -loss
+    return tuple(float(round(x)) if min(x, 1 - x) < 1e-9 else x for x in (i + moved / size_i, j - moved / size_j))
+
+
 def pivot(sizes: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> int | None:
-    """Rounds the shares in place to 0 or 1, all but one at most, whose place is returned. Words are traded one for one."""
+    """Rounds the shares in place to 0 or 1, in pairs, all but one at most, whose place is returned."""
     held = None
     for k in range(len(sizes)):
         if not 0 < share[k] < 1:
@@ -55,27 +68,51 @@ def pivot(sizes: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> int
         if held is None:
             held = k
             continue
-        i, j = held, k
-        gain = min((1 - share[i]) * sizes[i], share[j] * sizes[j])  # words that may go from j to i
-        loss = min(share[i] * sizes[i], (1 - share[j]) * sizes[j])
-        moved = gain if rng.random() * (gain + loss) < loss else -loss
-        share[i] += moved / sizes[i]
-        share[j] -= moved / sizes[j]
-        for x in (i, j):
-            if min(share[x], 1 - share[x]) < 1e-9:
-                share[x] = round(share[x])
-        held = next((x for x in (i, j) if 0 < share[x] < 1), None)
+        share[held], share[k] = trade(share[held], sizes[held], share[k], sizes[k], rng)
+        held = next((x for x in (held, k) if 0 < share[x] < 1), None)
     return held
 
 
+def pool(sizes: np.ndarray, share: float, rng: np.random.Generator) -> tuple[np.ndarray, int | None]:
+    """Shares of 0 or 1 for documents (largest first) that all begin with the same share, and the place of the one left.
+
+    Each trades with all smaller ones, which change their common share, or end at 0 or 1 and leave it fractional. One with
+    more than MATTERS of all words takes the number of copies that they can make good for, if that is only one of the two.
+    """
+    most = MATTERS * sizes.sum()
+    out, rest = np.zeros(len(sizes)), np.cumsum(sizes[::-1])[::-1] - sizes
+    for k, size in enumerate(sizes):
+        if not 0 < share < 1:
+            out[k:] = share
+            return out, None
+        if k == len(sizes) - 1:
+            out[k] = share
+            return out, k
+        up, down = (1 - share) * size <= share * rest[k], share * size <= (1 - share) * rest[k]
+        if up == down or size <= most:
+            out[k], left = trade(share, size, share, rest[k], rng)
+        else:
+            out[k] = float(up)
+            left = share + (share - out[k]) * size / rest[k]
+            left = float(round(left)) if min(left, 1 - left) < 1e-9 else left
+        if 0 < out[k] < 1:
+            out[k + 1 :] = left
+            return out, k
+        share = left
+    return out, None
+
+
 def _node(level: int, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # Large documents first, so that small ones are left for the upper levels. Ids break ties.
+        # Large documents first, so that small ones are left to make good for them. Ids break ties.
         pdf = pdf.sort_values(["unit_size", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         source, node = pdf["source"][0], int(pdf["node"][0])
         rng = np.random.default_rng([seed, level, node, zlib.crc32(str(source).encode()), int(source is None)])
-        share = pdf["share"].to_numpy(float).copy()
-        held = pivot(pdf["unit_size"].to_numpy(float), share, rng)
+        share, sizes = pdf["share"].to_numpy(float).copy(), pdf["unit_size"].to_numpy(float)
+        if level:
+            held = pivot(sizes, share, rng)
+        else:
+            share, held = pool(sizes, share[0], rng)
         if held is not None and pdf["nodes"][0] == 1:
             share[held] = float(rng.random() < share[held])
             held = None
@@ -89,13 +126,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     size is the number of words (null text: 0). Rows of one source that share an id (null too) get the same number of
     copies. Documents without words weigh nothing and are taken once. Equal inputs give equal results, whatever the
-    partitions. Columns of docs with these names are replaced; an empty table gives none.
+    partitions. Columns of docs with these names are replaced, all others pass through whatever their names; an empty table
+    gives none.
     """
     spark = docs.sparkSession
     python_batches(spark)
     new = ["size", "source_size", "target", "copies", "taken"]
-    names = [c for c in docs.columns if c not in new]
-    sized = docs.select(*names, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    names = [c for c in docs.columns if c.lower() not in new]
+    sized = docs.select(*quoted(names), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = sized.select(F.col(source_col).alias("source"), F.col(id_col).cast("string").alias("key"), "size")
     units = written(units.groupBy("source", "key").agg(F.sum("size").alias("unit_size")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum("unit_size").alias("source_size"), F.count(F.lit(1)).alias("n_units"))
@@ -121,13 +159,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     for part in rounded[1:]:
         extra = extra.unionByName(part)
 
-    extra = extra.withColumns({"__key": F.col("key"), "__extra": F.lit(1)}).alias("e")
-    out = sized.withColumns({"__source": F.col(source_col), "__id": F.col(id_col).cast("string")}).alias("s")
-    out = out.join(plan.select(F.col("source").alias("__p"), "source_size", "target").alias("p"), F.expr("s.__source <=> p.__p"), "left")
-    out = out.join(extra.select(F.col("source").alias("__e"), "__key", "__extra").alias("e"), F.expr("s.__source <=> e.__e AND s.__id <=> e.__key"), "left")
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(ratio) + F.coalesce("__extra", F.lit(0))).cast("long")
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*[F.col(f"s.`{c}`") for c in names], *new)
+    extra = extra.select(F.col("source").alias("e_source"), "key", F.lit(1).alias("extra"))
+    mine, of, key = unused(sized, "row", "source", "key")
+    rows = sized.select(F.struct(*quoted(sized.columns)).alias(mine), F.col(source_col).alias(of), F.col(id_col).cast("string").alias(key)).alias("s")
+    rows = rows.join(plan.select(F.col("source").alias("p_source"), "source_size", "target").alias("p"), F.expr(f"s.`{of}` <=> p.p_source"), "left").withColumn("ratio", ratio)
+    # Texts move only where a source's documents differ.
+    whole, mixed = F.col("ratio") == F.floor("ratio"), rows.filter("ratio <> floor(ratio)")
+    mixed = mixed.join(extra.alias("e"), F.expr(f"s.`{of}` <=> e.e_source AND s.`{key}` <=> e.key"), "left")
+    fields = [F.col(mine), "source_size", "target", "ratio", F.coalesce("extra", F.lit(0)).alias("extra")]
+    out = rows.filter(whole).withColumn("extra", F.lit(0)).select(fields).unionByName(mixed.select(fields))
+    size = F.col(f"{mine}.size")
+    copies = F.when(size == 0, F.lit(1)).otherwise(F.floor("ratio") + F.col("extra")).cast("long")
+    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * size)
+    return out.select(*[F.col(mine)[c].alias(c) for c in [*names, "size"]], "source_size", "target", "copies", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
