@@ -37,14 +37,50 @@ def test_composition_equals_running_one_after_the_other():
             assert (out, h) == (z, f * g)
 
 
+def test_reported_speech_goes_on_behind_a_colon():
+    match = toxicity.Matcher(toxicity.Model({"idiot": 3.0}))
+    assert list(match.clauses("she said: you idiot. a: b; c")) == [["she", "said", "you", "idiot"], ["a"], ["b"], ["c"]]
+    assert match.features("she said: you idiot")[1] < match.features("see here: you idiot")[1]
+
+
+def one_by_one(words, weight):
+    """A clause's score by the three transducers, each run over the whole output of the one before."""
+    match = toxicity.Matcher(toxicity.Model({}))
+    symbols = [match.symbol.get(w, toxicity.INSULT if w in weight else toxicity.OTHER) for w in words]
+    factors = [1.0] * len(words)
+    for machine in (toxicity.window(toxicity.NEGATION, 3, "IH", 0.2), toxicity.window(toxicity.REPORT, 0, "IH", 0.5), toxicity.aimed()):
+        state, out = 0, []
+        for k, x in enumerate(symbols):
+            state, y, f = machine[state, x]
+            out.append(y)
+            factors[k] *= f
+        symbols = out
+    worth = lambda w: 3.0 if match.symbol.get(w) == toxicity.THREAT else weight.get(w, 1.0)
+    return min(10.0, sum(worth(w) * f for w, f, x in zip(words, factors, symbols, strict=True) if x in "IHD"))
+
+
+def test_texts_score_as_by_brute_force():
+    weight = {"idiot": 3.0, "fool": 2.5}
+    match, rng = toxicity.Matcher(toxicity.Model(weight)), np.random.default_rng(5)
+    words = "idiot fool kill you not said tree the of and he never".split()
+    for _ in range(200):
+        clauses = [list(rng.choice(words, rng.integers(1, 9))) for _ in range(rng.integers(1, 6))]
+        scores = [one_by_one(c, weight) for c in clauses]
+        got = match.features(". ".join(" ".join(c) for c in clauses))
+        assert got[1] == pytest.approx(np.log1p(sum(scores))) and got[4] == pytest.approx(np.log1p(100 * sum(scores) / len(clauses)))
+        assert got[2] == pytest.approx(max(scores) / 10)
+
+
 def test_toxicity_held_out(spark):
-    got = toxicity.query(spark, BIG).join(table(spark, BIG, "labels"), "doc_id").filter("held_out").toPandas()
-    assert (got["predicted"] == got["toxic"]).mean() > 0.95
+    got = toxicity.query(spark, BIG).join(table(spark, BIG, "labels"), "doc_id").filter("held_out AND toxic IS NOT NULL").toPandas()
     assert got["score"].between(0, 1).all()
+    assert got["predicted"][got["toxic"] == 1].mean() >= 0.8 and got["toxic"][got["predicted"] == 1].mean() >= 0.95
 
 
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
+    clash = odd.withColumns({"score": F.lit("mine"), "__scored": F.lit("kept"), "N_HITS": F.lit(1), "a.b": F.lit(2)})
+    assert toxicity.score(clash, toxicity.Model({})).filter("__scored = 'kept' AND `a.b` = 2").count() == odd.count()
     got = toxicity.score(odd.withColumn("score", F.lit("mine")), toxicity.learn(odd, labels)).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] < toxicity.REJECT for r in got)
     assert toxicity.score(odd.limit(0), toxicity.Model({})).count() == 0
@@ -54,9 +90,13 @@ def test_toxicity_odd_rows(spark, odd):
 
 
 def test_gradients_are_those_of_the_loss():
-    net, text, y = quality_classifier.fresh(3), "some bytes " * 40, 1.0
-    grads, _ = quality_classifier.gradients(net, text, y)
-    loss = lambda: -np.log(quality_classifier.probability(net, text))
+    """Of a batch: one long text, one of a single half chunk, an empty one."""
+    net, texts, y = quality_classifier.fresh(3), ["some bytes " * 40, "short", ""], np.array([1.0, 0.0, 1.0])
+    data, weight = [quality_classifier.as_bytes(t) for t in texts], np.array([1.0, 2.0, 0.5])
+    grads, p = quality_classifier.gradients(net, data, y, weight)
+    chance = lambda: np.array([quality_classifier.probability(net, t) for t in texts])
+    assert p == pytest.approx(chance(), abs=1e-5)
+    loss = lambda: -(weight * np.log(np.where(y == 1, chance(), 1 - chance()))).sum()
     rng = np.random.default_rng(0)
     for p, g in zip(net.params(), grads, strict=True):
         for i in rng.choice(p.size, min(8, p.size), replace=False) if p is not net.filters else np.argsort(-np.abs(g.ravel()))[:8]:
@@ -66,7 +106,29 @@ def test_gradients_are_those_of_the_loss():
             p.flat[i] = old - step
             low = loss()
             p.flat[i] = old
-            assert abs((high - low) / (2 * step) - g.flat[i]) < 0.02 + 0.1 * abs(g.flat[i])
+            assert abs((high - low) / (2 * step) - g.flat[i]) < 0.03 + 0.1 * abs(g.flat[i])
+
+
+def naive_probability(net, text):
+    """The forward pass by loops over bytes, chunks and units."""
+    q = quality_classifier
+    raw = text.encode()
+    raw += b"\0" * (max(1, -(-len(raw) // q.HOP)) * q.HOP - len(raw))
+    at = lambda i: raw[i] if i < len(raw) else 0
+    acts = [[max(0.0, net.bias[f] + sum(net.filters[j, at(i + j), f] for j in range(q.WIDTH))) for f in range(q.FILTERS)] for i in range(len(raw))]
+    places = [range(b, b + 2 * q.HOP) for b in range(0, len(raw) - q.HOP, q.HOP)] or [range(q.HOP)]
+    units = [0.0] * q.HIDDEN
+    for span in places:
+        pooled = [max(acts[i][f] for i in span) for f in range(q.FILTERS)] + [sum(acts[i][f] for i in span) / len(span) for f in range(q.FILTERS)]
+        for u in range(q.HIDDEN):
+            units[u] = max(units[u], net.hidden_bias[u] + sum(x * net.hidden[k, u] for k, x in enumerate(pooled)))
+    return 1 / (1 + np.exp(-(net.out_bias[0] + sum(x * w for x, w in zip(units, net.out, strict=True)))))
+
+
+@pytest.mark.parametrize("text", ["", "é", "one half chunk", "several half chunks " * 30])
+def test_score_is_that_of_a_naive_forward_pass(text):
+    net = quality_classifier.fresh(5)
+    assert quality_classifier.probability(net, text) == pytest.approx(naive_probability(net, text), abs=1e-4)
 
 
 def test_blocks_do_not_change_the_score(monkeypatch):
@@ -77,8 +139,8 @@ def test_blocks_do_not_change_the_score(monkeypatch):
 
 
 def test_quality_held_out(spark):
-    got = quality_classifier.query(spark, BIG).join(table(spark, BIG, "labels"), "doc_id").filter("held_out").toPandas()
-    assert (got["predicted"] == got["quality"]).mean() > 0.9
+    got = quality_classifier.query(spark, BIG).join(table(spark, BIG, "labels"), "doc_id").filter("held_out AND quality IS NOT NULL").toPandas()
+    assert got["predicted"][got["quality"] == 1].mean() >= 0.95 and (1 - got["predicted"][got["quality"] == 0]).mean() >= 0.8
 
 
 def test_quality_odd_rows(spark, odd):

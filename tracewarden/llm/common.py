@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch for Python stages; long texts make the default of 10,000 too large.
@@ -104,19 +104,27 @@ def id_remainder(doc_id: Column, mod: int) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(mod))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, held_out: int, most_rows: int, most_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled training texts (id, text, y), most_rows at most: those whose ids hash lowest. Written, so that it is read once.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, mod: int, held_out: int, most_rows: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled training texts (id, text, y), each different text of an id once: whole texts, of any length.
 
-    Rows with crc32(id) mod `mod` = held_out never enter, nor null or contradictory labels, nor texts over most_chars.
+    At most most_rows rows and, but for the first, most_bytes bytes, those whose ids hash lowest. Rows with crc32(id) mod
+    `mod` = held_out never enter, nor null or contradictory labels. Null texts are empty. Written, so that it is read once.
     """
-    marks = labels.filter(F.col(id_col).isNotNull() & F.col(target).isNotNull() & (id_remainder(F.col(id_col), mod) != held_out))
-    marks = marks.groupBy(id_col).agg(F.min(target).alias("y"), F.max(target).alias("__other")).filter("y = __other").drop("__other")
+    marks = labels.select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
+    marks = marks.filter(id_remainder(F.col("id"), mod) != held_out)
+    marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     # The ids alone are ordered and cut; at most most_rows of them are broadcast.
-    chosen = marks.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most_rows)
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if most_chars is not None:
-        texts = texts.filter(F.length("text") <= most_chars)
-    return written(texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "text", F.col("y").cast("int").alias("y")), "labelled")
+    chosen = marks.orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    # However often an id repeats, its equal texts meet before they are dealt out.
+    texts = texts.groupBy("id", "y", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    texts = written(texts, "labelled-texts")
+    order = Window.orderBy(F.xxhash64("id"), "id", "h")
+    sizes = texts.select("id", "h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id", "h").limit(most_rows)
+    sizes = sizes.withColumn("sum", F.sum("size").over(order)).withColumn("n", F.row_number().over(order)).filter((F.col("sum") <= most_bytes) | (F.col("n") == 1))
+    out = written(texts.join(F.broadcast(sizes.select("id", "h")), ["id", "h"]).select("id", "text", "y"), "labelled")
+    drop(texts)
+    return out
 
 
 def key_bitmap(keys: DataFrame, key: str, most_bits: int = 1 << 27) -> tuple[DataFrame, int]:

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, labelled_sample, python_batches, table
 
-#: Labelled rows and their characters that the fit reads at most; the driver holds them.
-MOST_LABELLED, MOST_CHARS = 4000, 6000
+#: Labelled rows, and bytes of all their texts, that the fit reads at most; the driver holds them.
+MOST_LABELLED, MOST_BYTES = 4000, 24 << 20
 WIDTH, FILTERS, HIDDEN = 5, 16, 16
 #: Bytes from one chunk to the next, half a chunk.
 HOP = 128
 #: Bytes that a task convolves at once.
-BLOCK = HOP * 2048
-EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.01, 1e-4
+BLOCK = HOP * 1024
+EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.01, 1e-4
+#: A small sample is read again until there have been so many batches.
+LEAST_STEPS = 500
 KEEP = 0.3
 MOD, HELD_OUT = 5, 0
 SEED = 17
@@ -92,62 +94,78 @@ def probability(net: Net, text: str | None) -> float:
     return squash(hidden.max(0) @ net.out + net.out_bias[0])
 
 
-def gradients(net: Net, text: str, y: float) -> tuple[list[np.ndarray], float]:
-    """Of the cross entropy of one text, by the chain rule through both poolings."""
-    data = as_bytes(text)
-    padded = np.concatenate([data, np.zeros(WIDTH - 1, np.uint8)])
-    a = activations(net, padded).reshape(-1, HOP, FILTERS)
-    at = a.argmax(1)
-    h = np.concatenate([a.max(1), a.mean(1)], 1)
-    c = chunks(h)
-    hid = np.maximum(c @ net.hidden + net.hidden_bias, 0)
-    top = hid.argmax(0)
-    best = hid[top, np.arange(HIDDEN)]
-    p = squash(best @ net.out + net.out_bias[0])
-    d = np.float32(p - y)
-    d_best = d * net.out * (best > 0)
-    d_hidden, d_c = np.zeros_like(net.hidden), np.zeros_like(c)
-    np.add.at(d_c, top, (net.hidden * d_best).T)
-    d_hidden[:] = c[top].T * d_best
+def gradients(net: Net, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of the weighted cross entropy of texts (as_bytes), summed, by the chain rule through the poolings; and the probabilities.
+
+    Pools are found block by block; activations are made anew for the few half chunks that a pool has chosen.
+    """
+    padded = [np.concatenate([t, np.zeros(WIDTH - 1, np.uint8)]) for t in texts]
+    h = np.concatenate([halves(net, t) for t in texts])
+    ends = np.cumsum([len(t) // HOP for t in texts])
+    spans = [(e - len(t) // HOP, e) for e, t in zip(ends.tolist(), texts, strict=True)]
+    left = np.concatenate([np.arange(b, max(e - 1, b + 1)) for b, e in spans])
+    right = np.concatenate([np.minimum(np.arange(b, max(e - 1, b + 1)) + 1, e - 1) for b, e in spans])
+    c = np.concatenate([np.maximum(h[left, :FILTERS], h[right, :FILTERS]), (h[left, FILTERS:] + h[right, FILTERS:]) / 2], 1)
+    hidden = np.maximum(c @ net.hidden + net.hidden_bias, 0)
+    ends = np.cumsum([max(e - b - 1, 1) for b, e in spans]).tolist()
+    top = np.stack([b + hidden[b:e].argmax(0) for b, e in zip([0, *ends[:-1]], ends, strict=True)])
+    best = hidden[top, np.arange(HIDDEN)]
+    p = 1 / (1 + np.exp(-np.clip(best @ net.out + net.out_bias[0], -30, 30)))
+    d = ((p - y) * weight).astype(np.float32)
+    d_best = d[:, None] * net.out * (best > 0)
+    d_c, d_h = np.zeros_like(c), np.zeros_like(h)
+    np.add.at(d_c, top.ravel(), (d_best[:, :, None] * net.hidden.T).reshape(-1, 2 * FILTERS))
     # A chunk's largest value came from the half that had it; its mean from both.
-    d_h = np.zeros_like(h)
-    if len(h) == 1:
-        d_h += d_c
-    else:
-        left = h[:-1, :FILTERS] >= h[1:, :FILTERS]
-        d_h[:-1, :FILTERS] += d_c[:, :FILTERS] * left
-        d_h[1:, :FILTERS] += d_c[:, :FILTERS] * ~left
-        d_h[:-1, FILTERS:] += d_c[:, FILTERS:] / 2
-        d_h[1:, FILTERS:] += d_c[:, FILTERS:] / 2
+    won = h[left, :FILTERS] >= h[right, :FILTERS]
+    d_h[left, :FILTERS] += d_c[:, :FILTERS] * won
+    d_h[right, :FILTERS] += d_c[:, :FILTERS] * ~won
+    d_h[left, FILTERS:] += d_c[:, FILTERS:] / 2
+    d_h[right, FILTERS:] += d_c[:, FILTERS:] / 2
+    d_filters, d_bias = np.zeros_like(net.filters), np.zeros_like(net.bias)
     used = np.flatnonzero(np.abs(d_h).sum(1))
-    d_a = np.repeat(d_h[used, None, FILTERS:] / HOP, HOP, 1)
-    np.put_along_axis(d_a, at[used, None, :], np.take_along_axis(d_a, at[used, None, :], 1) + d_h[used, None, :FILTERS], 1)
-    d_a = (d_a * (a[used] > 0)).reshape(-1, FILTERS)
-    places = (used[:, None] * HOP + np.arange(HOP)).ravel()
-    d_filters = np.empty_like(net.filters)
-    for j in range(WIDTH):
-        seen = padded[places + j]
-        for f in range(FILTERS):
-            d_filters[j, :, f] = np.bincount(seen, d_a[:, f], 256)
-    return [d_filters, d_a.sum(0), d_hidden, d_best, d * best, np.array([d], np.float32)], p
+    for i in range(0, len(used), BLOCK // HOP):
+        part = used[i : i + BLOCK // HOP]
+        taps = _taps(padded, spans, part)
+        a = np.take(net.filters[0], taps[0], axis=0)
+        for j in range(1, WIDTH):
+            a += np.take(net.filters[j], taps[j], axis=0)
+        a = np.maximum(a + net.bias, 0).reshape(-1, HOP, FILTERS)
+        at = a.argmax(1)[:, None, :]
+        d_a = np.repeat(d_h[part, None, FILTERS:] / HOP, HOP, 1)
+        np.put_along_axis(d_a, at, np.take_along_axis(d_a, at, 1) + d_h[part, None, :FILTERS], 1)
+        d_a = np.ascontiguousarray((d_a * (a > 0)).reshape(-1, FILTERS).T)
+        d_bias += d_a.sum(1)
+        for j in range(WIDTH):
+            for f in range(FILTERS):
+                d_filters[j, :, f] += np.bincount(taps[j], d_a[f], 256).astype(np.float32)
+    d_hidden = np.einsum("bhf,bh->fh", c[top], d_best)
+    return [d_filters, d_bias, d_hidden, d_best.sum(0), d @ best, np.array([d.sum()], np.float32)], p
+
+
+def _taps(padded: list[np.ndarray], spans: list[tuple[int, int]], wanted: np.ndarray) -> list[np.ndarray]:
+    """For each place j of a window, the bytes that the windows of the wanted half chunks (numbered through all texts) have there."""
+    bounds, parts = np.searchsorted(wanted, [b for b, _ in spans] + [spans[-1][1]]), []
+    for (b, _), text, lo, hi in zip(spans, padded, bounds, bounds[1:], strict=False):
+        if lo < hi:
+            parts.append(text[((wanted[lo:hi] - b)[:, None] * HOP + np.arange(HOP + WIDTH - 1))])
+    every = np.concatenate(parts)
+    return [every[:, j : j + HOP].ravel() for j in range(WIDTH)]
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:
-    """Adam on shuffled batches; both labels weigh their natural share. The last epochs use a falling rate."""
+    """Adam on shuffled batches with a falling rate; the rarer label weighs more, so that both count alike."""
     net, rng, step = fresh(seed), np.random.default_rng(seed), 0
-    share = float(np.clip(labels.mean(), 0.01, 0.99))
-    net.out_bias[0] = np.log(share / (1 - share))
+    data, share = [as_bytes(t) for t in texts], float(np.clip(labels.mean(), 0.01, 0.99))
+    weights = np.where(labels > 0.5, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     first, second = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
-    steps = epochs * -(-len(texts) // BATCH)
+    each = -(-len(texts) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // each))
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             batch, step = order[i : i + BATCH], step + 1
-            total = [np.zeros_like(p) for p in net.params()]
-            for k in batch:
-                for t, g in zip(total, gradients(net, texts[k], labels[k])[0], strict=True):
-                    t += g
-            rate = RATE * (1 - step / (steps + 1))
+            total, _ = gradients(net, [data[k] for k in batch], labels[batch], weights[batch])
+            rate = RATE * (1 - step / (epochs * each + 1))
             for p, g, m, v in zip(net.params(), total, first, second, strict=True):
                 g = g / len(batch) + DECAY * p
                 m += 0.1 * (g - m)
@@ -156,12 +174,12 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Net:
-    """Fit on at most most_labelled labelled rows of at most MOST_CHARS characters, outside the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Net:
+    """Fit on at most most_labelled labelled rows and most_bytes bytes of whole texts outside the held-out fold.
 
-    Without any such row the network answers about one half for every text.
+    Without any such row the network answers one half for every text.
     """
-    rows = labelled_sample(docs, labels, "quality", MOD, HELD_OUT, most_labelled, MOST_CHARS).toPandas().sort_values("id")
+    rows = labelled_sample(docs, labels, "quality", MOD, HELD_OUT, most_labelled, most_bytes).toPandas().sort_values(["id", "text"])
     rows = rows.drop_duplicates("text")
     net = fresh() if rows.empty else train(rows["text"].tolist(), rows["y"].to_numpy(np.float32))
     if rows.empty:
@@ -170,7 +188,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
 
 def score(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1); no row goes and no shuffle happens. Null texts count as empty; a column score is replaced."""
+    """docs with score (0 to 1); no row goes and no shuffle happens.
+
+    Null texts count as empty, texts of any length are read whole in blocks, equal texts get equal scores, an empty table
+    gives none; a column score is replaced, all others pass through whatever their names.
+    """
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

@@ -4,14 +4,15 @@ A lexical transducer maps words to symbols (insult, threat, target, negation, re
 transducers below rewrite and weigh these symbols, and their composition is one small deterministic machine that runs
 over the clauses holding an insult or a threat. Scores belong to matched clauses: an insult that is negated or merely
 reported weighs less, one with a target in its clause weighs more. Insult words and word stems are learned from a
-bounded labelled sample; a logistic model turns what the clauses of a text score into one probability.
+bounded labelled sample. A logistic model turns what the clauses of a text score into one probability; it sees nothing
+but clauses, so a word that is negated or reported away counts for little however often it stands there.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, labelled_sample, python_batches, table
+from .common import id_remainder, labelled_sample, python_batches, quoted, table, unused
 
-#: Labelled rows that the fit reads at most.
-MOST_LABELLED = 8000
+#: Labelled rows, and bytes of their texts, that the fit reads at most.
+MOST_LABELLED, MOST_BYTES = 8000, 256 << 20
 #: A learned word or stem needs this log-odds, and this share of the toxic texts (4 at least).
 LEAST_WEIGHT, LEAST_SHARE, LEAST_TEXTS = 2.0, 0.01, 4
 #: Of one word, so many uses in a text count; a clause scores at most MOST_CLAUSE.
@@ -34,17 +35,27 @@ MOST_ENTRIES = 4000
 REJECT = 0.7
 MOD, HELD_OUT = 3, 1
 
-# Fixed word lists of the lexical transducer; insults are also learned.
-INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb imbecile"
-THREATS = "kill hurt destroy murder stab shoot strangle töten umbringen tuer frapper matar golpear"
-TARGETS = "you your yours yourself u he she they them him her du dich dir ihr euch sie tu te toi vous usted ustedes ellos ellas"
-NEGATIONS = "not no never none without isn aren wasn don doesn didn nicht kein keine nie ne pas jamais nunca ni sin"
-REPORTS = "said says say told claimed called wrote reported quoted according sagte laut dit selon dijo según"
+# Fixed word lists of the lexical transducer, in English, German, French and Spanish; insults are also learned.
+INSULTS = (
+    "idiot idiots idiotic moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb dumbass imbecile jerk creep filth vermin coward cretin bastard "
+    "idioten idiotin trottel dummkopf versager abschaum widerlich erbärmlich wertlos dumm blödmann arschloch depp schwachkopf feigling mistkerl drecksack ungeziefer "
+    "idiote idiots imbécile crétin crétine abruti abrutie minable ordure dégoûtant pathétique stupide salaud connard lâche nul raclure débile vermine "
+    "idiota idiotas imbécil imbéciles estúpido estúpida basura escoria inútil asqueroso asquerosa patético patética tonto tonta cobarde payaso miserable perdedor cretino"
+)
+THREATS = (
+    "kill kills killed killing hurt hurting destroy destroying murder murdering stab stabbing shoot shooting strangle strangling beat beating crush burn "
+    "töten töte umbringen umbringe vernichten vernichte erschießen erwürgen erstechen verprügeln schlagen zerstören "
+    "tuer tue tuerai frapper frapperai détruire détruirai étrangler poignarder massacrer brûler écraser "
+    "matar mataré mato golpear golpearé destruir destruiré apuñalar estrangular quemar aplastar"
+)
+TARGETS = "you your yours yourself u he she they them him her du dich dir dein deine ihr euch sie er ihn tu te toi vous il elle lui usted ustedes ellos ellas él ti"
+NEGATIONS = "not no never none without isn aren wasn don doesn didn nicht kein keine keinen nie ne pas jamais aucun nunca ni sin ningún"
+REPORTS = "said says say told claimed called wrote reported quoted according sagte sagt meinte schrieb laut dit disait écrit selon dijo dice escribió según"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, LATE = "O", "I", "H", "T", "N", "R", "D"
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+CLAUSE = re.compile(r"[.!?;\n]+")
 
 # A transducer: its arcs by (state, symbol), each to (state, symbol, factor). State 0 begins every clause.
 Transducer = dict[tuple[int, str], tuple[int, str, float]]
@@ -134,7 +145,22 @@ class Matcher:
                 self.known[word] = w
         return w
 
-    def clause(self, words: list[str]) -> float:
+    def clauses(self, text: str) -> Iterator[list[str]]:
+        """The words of each clause; a colon ends one unless it opens what somebody is said to have said."""
+        for part in CLAUSE.split(text):
+            if ":" not in part:
+                yield WORD.findall(part)
+                continue
+            words: list[str] = []
+            for piece in part.split(":"):
+                if words and not any(self.symbol.get(w) == REPORT for w in words):
+                    yield words
+                    words = []
+                words = words + WORD.findall(piece)
+            yield words
+
+    def clause(self, words: list[str], plain: set[str] | None = None) -> float:
+        """The clause's score; words that count in full there are added to `plain`."""
         state, total = 0, 0.0
         for word in words:
             symbol = self.symbol.get(word, OTHER)
@@ -144,18 +170,26 @@ class Matcher:
             state, out, factor = self.arcs[state, symbol]
             if out in (INSULT, THREAT, LATE):
                 total += w * factor
+                if plain is not None and out == INSULT and factor >= 1:
+                    plain.add(word)
         return min(total, MOST_CLAUSE)
 
     def features(self, text: str) -> tuple[float, ...]:
-        """(1, log of the summed clause scores, highest clause score, log of the number of different hits, log of hits per 100 words)."""
+        """(1, log of the summed clause scores, highest clause score, log of the number of different words that count in full in
+        their clauses, log of the clause scores per 100 clauses)."""
         low = text.lower()
-        words = WORD.findall(low)
-        hits = {w for w in set(words) if self.of(w)}
+        hits = {w for w in set(WORD.findall(low)) if self.of(w)}
         if not hits:
-            return 1.0, 0.0, 0.0, 0.0, 0.0
-        scores = [self.clause(c) for part in CLAUSE.split(low) if not hits.isdisjoint(c := WORD.findall(part))]
-        uses = sum(min(n, MOST_USES) for n in Counter(w for w in words if w in hits).values())
-        return 1.0, math.log1p(sum(scores)), max(scores) / MOST_CLAUSE, math.log1p(len(hits)), math.log1p(100 * uses / len(words))
+            return NOTHING
+        n, scores, plain = 0, [], set()
+        for words in self.clauses(low):
+            n += bool(words)
+            if not hits.isdisjoint(words):
+                scores.append(self.clause(words, plain))
+        return 1.0, math.log1p(sum(scores)), max(scores) / MOST_CLAUSE, math.log1p(len(plain)), math.log1p(100 * sum(scores) / n)
+
+
+NOTHING = (1.0, 0.0, 0.0, 0.0, 0.0)
 
 
 def _features(model: Model):
@@ -182,14 +216,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """The lexicon and the logistic model, from at most most_labelled labelled rows outside the held-out fold.
+def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> Model:
+    """The lexicon and the logistic model, from at most most_labelled labelled rows (and most_bytes bytes) outside the held-out fold.
 
     Without both labels in the sample, the fixed word lists and default coefficients serve.
     """
     spark = docs.sparkSession
     python_batches(spark)
-    sample = labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, most_labelled)
+    sample = labelled_sample(docs, labels, "toxic", MOD, HELD_OUT, most_labelled, most_bytes)
     # A word counts once for each different text, however often that is copied.
     texts = sample.groupBy(F.xxhash64("text").alias("h"), "y").agg(F.first("text").alias("text"))
     counts = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -216,21 +250,23 @@ def learn(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and n_hits, the number of different toxic words; no row goes and no shuffle happens.
+    """docs with score (0 to 1) and n_hits, the number of different toxic words that count in full; no row goes and no shuffle happens.
 
-    Null and empty texts get the score of a text without hits. Columns of docs with these names are replaced.
+    Null and empty texts get the score of a text without hits, texts of any length are read whole, equal texts get equal
+    scores, an empty table gives none. Columns of docs with these names are replaced, all others pass through.
     """
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<score double, n_hits int>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        match = Matcher(model)
-        x = np.array([match.features(t or "") for t in texts]).reshape(-1, 5)
-        z = np.clip(x @ np.array(model.coef), -30, 30)
-        return pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "n_hits": np.rint(np.expm1(x[:, 3])).astype("int32")})
-
-    names = [c for c in docs.columns if c not in ("score", "n_hits")]
-    return docs.select(*names, scored(F.col(text_col)).alias("__scored")).select(*names, "__scored.score", "__scored.n_hits")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        match = Matcher(model)  # once a task
+        for texts in batches:
+            x = np.array([match.features(t or "") for t in texts]).reshape(-1, len(NOTHING))
+            z = np.clip(x @ np.array(model.coef), -30, 30)
+            yield pd.DataFrame({"score": 1 / (1 + np.exp(-z)), "n_hits": np.rint(np.expm1(x[:, 3])).astype("int32")})
+
+    names, (found,) = [c for c in docs.columns if c.lower() not in ("score", "n_hits")], unused(docs, "scored")
+    return docs.select(*quoted(names), scored(F.col(text_col)).alias(found)).select(*quoted(names), f"{found}.score", f"{found}.n_hits")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
