@@ -291,20 +291,31 @@ def test_conversations_read_back(spark):
 # WARC
 
 
-def test_archives_round_trip(spark, tmp_path):
-    same, small = "p" * 150 + "\r\n\r\nWARC/1.1\r\n", "tiny"
-    rows = [(5, "http://a/\r\nX: y", same), (2, None, same), (2, "u", same), (9, "u", same), (3, "u", small), (4, "u", small), (6, "u", None), (None, "u", same), (7, "u", "é日" * 60)]
+def test_archives_round_trip(spark, tmp_path, monkeypatch):
+    same, small, long = "p" * 150 + "\r\n\r\nWARC/1.1\r\n", "tiny", "long é " * 80_000
+    rows = [(5, "http://a/\r\nX: y", same), (2, None, same), (2, "u", same), (9, "u", same), (3, "u", small), (4, "u", small), (6, "u", None), (None, "u", same), (7, "u", "é日" * 60), (8, "v", long), (10, "w", long)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     path = f"file://{tmp_path}/warc"
-    warc.write(warc.as_records(warc.resolve(pages.withColumn("record_type", F.lit(1)))), path, file_records=2)
+    extra = pages.withColumns({"record_type": F.lit(1), "__original": F.lit(2), "__row": F.lit(3), "Payload_Digest": F.lit(4)})
+    resolved = warc.resolve(extra)
+    assert resolved.filter("__original = 2 AND __row = 3").count() == len(rows)
+    warc.write(warc.as_records(resolved), path, file_bytes=1 << 16)
     got = warc.read(spark, path).collect()
     assert len(got) == len(rows)
     assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got if r["page_id"] in (5, 9, None)) == [(0, "revisit", 2), (5, "revisit", 2), (9, "revisit", 2)]
+    payloads = {3: small, 4: small, 6: "", 7: "é日" * 60, 8: long, 10: long}
     for r in got:
+        want = payloads.get(r["page_id"], same)
         if r["record_type"] == "response":
-            want = {5: same, 2: same, 9: same, 3: small, 4: small, 6: "", 7: "é日" * 60}[r["page_id"]]
             assert r["payload"] == want and r["payload_digest"] == hashlib.sha256(want.encode()).hexdigest() and r["refers_to"] is None
-        assert r["payload_bytes"] == len({6: "", 3: small, 4: small, 7: "é日" * 60}.get(r["page_id"], same).encode())
+        assert r["payload_bytes"] == len(want.encode())
+    assert [r["url"] for r in got if r["page_id"] == 5] == ["http://a/%0D%0AX:%20y"]
+    # Every record has an id of its own, and what a revisit refers to is there.
+    headers = [h for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() for h, _ in warc.parse(bytes(f["content"]))]
+    ids = [h["WARC-Record-ID"] for h in headers]
+    assert len(set(ids)) == len(rows) and all(h["WARC-Refers-To"] in ids and h["WARC-Refers-To-Date"] for h in headers if h["WARC-Type"] == "revisit")
+    assert max(sum(1 for _ in warc.parse(bytes(f["content"]))) for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()) <= 2
+    assert warc.classes_present(pages) == [0, 2]
     with pytest.raises(ValueError, match="WARC record"):
         list(warc.parse(b"junk\r\n\r\nmore"))
     warc.write(warc.as_records(warc.resolve(pages.limit(0))), f"{path}-none")

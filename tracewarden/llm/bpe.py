@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_level import Memo, Words, is_byte_level, read_vocabulary
-from .common import python_batches, table
+from .common import python_batches, quoted, table, unused
 
 VOCABULARY = "byte_bpe_50k.json"
 _PLACE = (1 << 32) - 1
@@ -91,7 +91,8 @@ def bpe(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with the ids of each whole text as binary (little-endian, 4 bytes each); null counts as empty. No shuffle."""
+    """docs with the ids of each whole text as binary (little-endian, 4 bytes each); null counts as empty, an empty
+    table gives none. A column `out` is replaced, all others pass through. No shuffle."""
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("binary")
@@ -103,7 +104,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "token
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """docs with the text of each row's ids; null ids give the empty text. No shuffle."""
+    """docs with the text of each row's ids; null ids give the empty text, an empty table none. A column `out` is replaced. No shuffle."""
     python_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -117,7 +118,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", out: str = "d
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256: both directions in one pass, only digests leave the task.
 
-    Columns of docs with these names are replaced.
+    Null counts as empty, texts of any length are read whole, equal texts get equal results, an empty table gives none.
+    Columns of docs with these names are replaced, all others pass through.
     """
     python_batches(docs.sparkSession)
 
@@ -130,8 +132,8 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     new = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    names = [c for c in docs.columns if c not in new]
-    return docs.select(*names, digests(F.col(text_col)).alias("__d")).select(*names, *[F.col(f"__d.{c}") for c in new])
+    names, (found,) = quoted([c for c in docs.columns if c.lower() not in new]), unused(docs, "found")
+    return docs.select(*names, digests(F.col(text_col)).alias(found)).select(*names, *[F.col(f"{found}.{c}") for c in new])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

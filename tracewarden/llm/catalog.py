@@ -18,8 +18,10 @@ _QUERIES = {
 }
 #: The others hold models, random choices, tokenizers or iterations, which SQL cannot express.
 _ORACLES = {
+    "op3_chat_format": chat.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
 

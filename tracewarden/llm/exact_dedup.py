@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_by_bitmap, key_bitmap, lower_ascii, table, written
+from .common import flag_by_bitmap, key_bitmap, lower_ascii, quoted, table, written
 
 PREFIX_CHARS = 64
 
@@ -31,36 +31,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest id of a group stays, and
     rows that repeat that id stay with it. Null ids lose against any other; a group of null ids alone keeps them.
-    Columns of docs named keep_id, group_size or kept are replaced; all others pass through. An empty table gives none.
+    Columns of docs named keep_id, group_size or kept are replaced; all others pass through, whatever their names. An
+    empty table gives none.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.drop("keep_id", "group_size", "kept").withColumn("__len", F.octet_length(text))
+    names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept")]
+    rows = docs.select(F.struct(*quoted(names)).alias("row"))
+    me, text = F.col("row")[id_col], F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = rows.withColumn("len", F.octet_length(text))
 
-    by_length = rows.groupBy("__len").count().filter("count > 1").select("__len")
-    level1 = flag_by_bitmap(rows, "__len", *key_bitmap(by_length, "__len"), "__same_length")
+    by_length = rows.groupBy("len").count().filter("count > 1").select("len")
+    level1 = flag_by_bitmap(rows, "len", *key_bitmap(by_length, "len"), "same_length")
 
-    prefix = F.when(F.col("__same_length"), F.xxhash64("__len", lower_ascii(F.substring(text, 1, PREFIX_CHARS))))
-    level2 = level1.withColumn("__prefix", prefix).drop("__same_length")
-    by_prefix = level2.filter("__prefix IS NOT NULL").groupBy("__prefix").count().filter("count > 1").select("__prefix")
-    level2 = flag_by_bitmap(level2, "__prefix", *key_bitmap(by_prefix, "__prefix"), "__same_prefix")
+    prefix = F.when(F.col("same_length"), F.xxhash64("len", lower_ascii(F.substring(text, 1, PREFIX_CHARS))))
+    level2 = level1.withColumn("prefix", prefix).drop("same_length")
+    by_prefix = level2.filter("prefix IS NOT NULL").groupBy("prefix").count().filter("count > 1").select("prefix")
+    level2 = flag_by_bitmap(level2, "prefix", *key_bitmap(by_prefix, "prefix"), "same_prefix").withColumn("same_prefix", F.expr("same_prefix AND prefix IS NOT NULL"))
 
-    survivors = level2.filter(F.col("__same_prefix") & F.col("__prefix").isNotNull()).drop("__same_prefix")
-    hashed = survivors.withColumn("__full", F.unhex(F.sha2(F.encode(normalized(text_col), "UTF-8"), 256)))
-    groups = hashed.groupBy("__len", "__full").agg(F.max(id_col).alias("__keep"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    hashed = level2.filter("same_prefix").withColumn("full", F.unhex(F.sha2(F.encode(lower_ascii(text), "UTF-8"), 256)))
+    groups = hashed.groupBy("len", "full").agg(F.max(me).alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # Written first, so that the join deals out both sides itself and can split a hot group's rows.
     groups = written(groups, "equal-texts")
 
-    unique = F.col("__size").isNull()
-    in_groups = hashed.join(groups, ["__len", "__full"], "left")
-    in_groups = in_groups.withColumns({
-        "keep_id": F.when(unique, F.col(id_col)).otherwise(F.col("__keep")),
-        "group_size": F.coalesce("__size", F.lit(1).cast("long")),
-    })
-    alone = level2.filter(~(F.col("__same_prefix") & F.col("__prefix").isNotNull()))
-    alone = alone.withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long")})
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    names = [*[c for c in rows.columns if c != "__len"], "keep_id", "group_size", "kept"]
-    return alone.withColumn("kept", kept).select(names).unionByName(in_groups.withColumn("kept", kept).select(names))
+    in_groups = hashed.join(groups, ["len", "full"], "left")
+    keep, size = F.when(F.col("size").isNull(), me).otherwise(F.col("keep")), F.coalesce("size", F.lit(1).cast("long"))
+    in_groups = in_groups.select("row", keep.alias("keep_id"), size.alias("group_size"))
+    alone = level2.filter("NOT same_prefix").select("row", me.alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    every = alone.unionByName(in_groups)
+    return every.select(*[F.col("row")[c].alias(c) for c in names], "keep_id", "group_size", me.eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,19 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, quoted, table
 
 # Line rules as patterns that Java's and RE2's engines read alike.
-#: Punctuation: three runs of symbols, five double exclamation marks, a stretch in capitals, eight words without any stop.
+#: Punctuation: three runs of symbols, five double exclamation marks, eight words in capitals, eight words without any stop.
 SYMBOL_RUNS = r"([#*$%&]{3}[^#*$%&]*){3}"
 EXCLAIMS = r"(!![^!]*){5}"
-CAPITALS = r"[A-Z][^a-z]{39}"
+CAPITALS = r"(\p{Lu}{2,}[ ,.!?-]+){7}\p{Lu}{2}"
 EIGHT_WORDS = r"^ *([^ ]+ +){7}[^ ]"  # anchored: one attempt a line, so a very long word takes linear time
 STOP = r"[.!?;:,。！？、…]"
 #: Navigation: three separators between labels.
 NAVIGATION = r"([|>»·][^|>»·]*){3}"
-#: Boilerplate phrases, matched in lower case.
-BOILERPLATE = r"all rights reserved|licensed under|privacy policy|terms of (use|service)|cookie (policy|settings)|click here|enable javascript"
+#: Boilerplate phrases, matched in lower case: English, German, French, Spanish.
+BOILERPLATE = (
+    r"all rights reserved|licensed under|privacy policy|terms of (use|service)|cookie (policy|settings)|click here|enable javascript|subscribe to our newsletter"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookie-einstellungen|hier klicken|newsletter abonnieren"
+    r"|tous droits réservés|politique de confidentialité|conditions d.utilisation|paramètres des cookies|cliquez ici|abonnez-vous"
+    r"|todos los derechos reservados|política de privacidad|condiciones de uso|configuración de cookies|haga clic aquí|suscríbase"
+)
 
 LEAST_WORDS = 50
 #: Per cent: of words in repeated windows at most; of characters that cleaning leaves at least.
@@ -44,46 +49,47 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base_failed and kept.
 
     Null texts count as empty and fail by their number of words. Rows are judged alone: repeated rows get equal
-    results, an empty table gives none, and columns of docs with the names above are replaced.
+    results, an empty table gives none, columns of docs with the names above are replaced, and all others pass through.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "left_chars", "cleaned_text", "base_failed", "kept"]
-    out = docs.drop(*names).withColumn("__t", F.coalesce(text_col, F.lit("")))
+    passed = [c for c in docs.columns if c.lower() not in names]
+    out = docs.select(F.struct(*quoted(passed)).alias("row")).withColumn("t", F.coalesce(F.col("row")[text_col], F.lit("")))
     out = out.withColumns({
-        "__words": F.array_remove(F.split("__t", f"[{SPACE}]+"), ""),
-        "__lines": F.filter(F.split("__t", "\n"), lambda x: x.rlike(rf"[^{SPACE}]")),
-        "n_symbols": (F.length("__t") - F.length(F.regexp_replace("__t", r"[#*$%&|<>]", ""))).cast("long"),
-        "word_chars": F.length(F.regexp_replace("__t", f"[{SPACE}]+", "")).cast("long"),
+        "words": F.array_remove(F.split("t", f"[{SPACE}]+"), ""),
+        "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(rf"[^{SPACE}]")),
+        "n_symbols": (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]", ""))).cast("long"),
+        "word_chars": F.length(F.regexp_replace("t", f"[{SPACE}]+", "")).cast("long"),
     })
     # One hash for each 3-word window; `get` gives null past the end, which the filter on position removes.
     out = out.withColumns({
-        "n_words": F.size("__words").cast("long"),
-        "__windows": F.slice(
-            F.transform("__words", lambda w, i: F.struct(F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("p"))),
-            1, F.greatest(F.size("__words") - 2, F.lit(0)),
+        "n_words": F.size("words").cast("long"),
+        "windows": F.slice(
+            F.transform("words", lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p"))),
+            1, F.greatest(F.size("words") - 2, F.lit(0)),
         ),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "__good": F.filter("__lines", lambda x: ~line_fails(x)),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "good": F.filter("lines", lambda x: ~line_fails(x)),
     })
-    out = out.withColumn("__hashes", F.col("__windows.h"))
-    repeats = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
+    out = out.withColumn("hashes", F.col("windows.h"))
+    repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     # Sorted by hash, a repeated window stands next to its equal.
-    out = out.withColumn("__sorted", F.when(repeats, F.sort_array("__windows")).otherwise(F.slice("__windows", 1, 0)))
-    same = lambda x, i: (F.get("__sorted", i + 1)["h"] == x["h"]) | ((i > 0) & (F.get("__sorted", i - 1)["h"] == x["h"]))
-    out = out.withColumn("__at", F.sort_array(F.transform(F.filter("__sorted", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])))
+    out = out.withColumn("sorted", F.when(repeats, F.sort_array("windows")).otherwise(F.slice("windows", 1, 0)))
+    same = lambda x, i: (F.get("sorted", i + 1)["h"] == x["h"]) | ((i > 0) & (F.get("sorted", i - 1)["h"] == x["h"]))
+    out = out.withColumn("at", F.sort_array(F.transform(F.filter("sorted", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["p"])))
     # A window covers three words, fewer where the next repeated window begins earlier.
-    covered = F.aggregate(F.transform("__at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__at", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    total = F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x))
-    left = F.aggregate("__good", F.lit(0), lambda a, x: a + F.length(x))
+    covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    total = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
+    left = F.aggregate("good", F.lit(0), lambda a, x: a + F.length(x))
     out = out.withColumns({
         "n_repeat_words": covered.cast("long"),
-        "n_lines_removed": (F.size("__lines") - F.size("__good")).cast("long"),
+        "n_lines_removed": (F.size("lines") - F.size("good")).cast("long"),
         "left_chars": left.cast("long"),
-        "__total": total.cast("long"),
-        "cleaned_text": F.array_join("__good", "\n"),
+        "total": total.cast("long"),
+        "cleaned_text": F.array_join("good", "\n"),
     })
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = out.withColumns({"base_failed": failed, "kept": ~failed & (100 * F.col("left_chars") >= LEAST_LEFT * F.col("__total"))})
-    return out.select(*[c for c in docs.columns if c not in names], *names)
+    out = out.withColumns({"base_failed": failed, "kept": ~failed & (100 * F.col("left_chars") >= LEAST_LEFT * F.col("total"))})
+    return out.select(*[F.col("row")[c].alias(c) for c in passed], *names)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "left_chars"]

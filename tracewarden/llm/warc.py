@@ -3,7 +3,8 @@
 Headers (digest and page id) are grouped by payload digest; where several pages share one, the original is its
 smallest page id and the others become revisit records that refer to it. A bit filter of bounded size tells which pages
 share a digest, so all others are written where they were read, without a shuffle. Records get fresh headers; Spark's
-text writer puts them down, and reading splits the files by the lengths that their headers give.
+text writer puts them down, by classes of size, so that no file is much larger than FILE_BYTES unless it holds one
+record, and reading splits the files by the lengths that their headers give.
 """
 
 from __future__ import annotations
@@ -11,69 +12,112 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_by_bitmap, fresh_path, key_bitmap, python_batches, table, written
+from .common import flag_by_bitmap, fresh_path, key_bitmap, python_batches, quoted, table, unused, written
 
 #: Payloads under so many bytes are never deduplicated.
 LEAST_BYTES = 100
-#: Records in a file; a task reads files whole.
-FILE_RECORDS = 2000
+#: Bytes of a file, which a task reads whole; and the payload sizes that part the classes.
+FILE_BYTES = 64 << 20
+CLASSES = (1 << 15, 1 << 19, 1 << 23)
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Record ids carry the page id.
+#: Record ids carry the page id, and a digest of url and payload, since page ids may repeat.
 RECORD_ID = "urn:page:"
 
 
-def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """pages with payload_bytes, payload_digest, record_type and refers_to; every row is returned.
+def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+    """pages with payload_bytes, payload_digest, record_type, refers_to and refers_to_url; every row is returned.
 
-    Null payloads count as empty. Rows that repeat the original's id are responses too; null ids refer to the smallest
-    other id, or are responses where there is none. Columns of pages with these names are replaced.
+    Null payloads count as empty. Rows that repeat the original's id are responses too; of their urls, the first by code
+    points is referred to. Null ids refer to the smallest other id, or are responses where there is none. Columns of pages
+    with these names are replaced, all others pass through whatever their names; an empty table gives none.
     """
-    new = ["payload_bytes", "payload_digest", "record_type", "refers_to"]
-    names = [c for c in pages.columns if c not in new]
+    new = ["payload_bytes", "payload_digest", "record_type", "refers_to", "refers_to_url"]
+    names = [c for c in pages.columns if c.lower() not in new]
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(*names, F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
-    headers = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).select(F.col(id_col).alias("__id"), "payload_digest")
-    shared = headers.groupBy("payload_digest").agg(F.min("__id").alias("__original"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
-    shared = written(shared, "shared-payloads")
-    flagged = flag_by_bitmap(rows, "payload_digest", *key_bitmap(shared, "payload_digest"), "__shared")
-    flagged = flagged.withColumn("__shared", F.col("__shared") & (F.col("payload_bytes") >= LEAST_BYTES))
-    alone = flagged.filter(~F.col("__shared")).withColumn("__original", F.lit(None).cast(pages.schema[id_col].dataType))
-    joined = flagged.filter("__shared").join(shared, "payload_digest", "left")
-    revisit = F.col("__original").isNotNull() & ~F.col("__original").eqNullSafe(F.col(id_col))
-    every = alone.select(*rows.columns, "__original").unionByName(joined.select(*rows.columns, "__original"))
-    return every.select(
-        *names, "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__original")).alias("refers_to")
-    )
-
-
-def as_records(resolved: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One string column: each row's WARC record, without the blank lines that end it. Revisits hold HTTP headers only."""
+    (row, original, url, shared_flag) = unused(pages, "row", "original", "original_url", "shared")
+    rows = pages.select(F.struct(*quoted(names)).alias(row), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    me, mine = F.col(row)[id_col], F.col(row)[url_col] if url_col in names else F.lit(None).cast("string")
+    headers = rows.filter(F.col("payload_bytes") >= LEAST_BYTES).select(me.alias("id"), mine.alias("url"), "payload_digest")
+    groups = headers.groupBy("payload_digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("o"), F.count(F.lit(1)).alias("n"))
+    shared = written(groups.filter("n > 1").select("payload_digest", F.col("o.id").alias(original), F.col("o.url").alias(url)), "shared-payloads")
+    flagged = flag_by_bitmap(rows, "payload_digest", *key_bitmap(shared, "payload_digest"), shared_flag)
+    flagged = flagged.withColumn(shared_flag, F.col(shared_flag) & (F.col("payload_bytes") >= LEAST_BYTES))
+    alone = flagged.filter(~F.col(shared_flag)).withColumns({original: F.lit(None).cast(pages.schema[id_col].dataType), url: F.lit(None).cast("string")})
+    joined = flagged.filter(shared_flag).join(shared, "payload_digest", "left")
+    fields = [row, "payload_bytes", "payload_digest", original, url]
+    out = alone.select(fields).unionByName(joined.select(fields))
+    revisit = F.col(original).isNotNull() & ~F.col(original).eqNullSafe(F.col(row)[id_col])
+    return out.select(
+        *[F.col(row)[c].alias(c) for c in names], "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
+        F.when(revisit, F.col(original)).alias("refers_to"), F.when(revisit, F.col(url)).alias("refers_to_url"),
+    )
+
+
+def percent_encoded(url):
+    """White space and control characters, which would break a header, as %XX; null is empty."""
+    url = F.coalesce(url, F.lit(""))
+    breaks = r"[\x00-\x20\x7F]"
+    return F.when(url.rlike(breaks), F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(breaks), F.concat(F.lit("%"), F.lpad(F.hex(c), 2, "0"))).otherwise(c)), "")).otherwise(url)
+
+
+def as_records(resolved: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None) -> DataFrame:
+    """(value, payload_bytes): each row's WARC record, without the blank lines that end it. Revisits hold HTTP headers only.
+
+    Null payloads and urls are empty. Rows that are equal in id, url and payload get equal record ids, all others
+    different ones. The date is that of the call unless given.
+    """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     revisit = F.col("record_type") == "revisit"
     length = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
-    # No white space or control character of a url may break the header.
-    url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\x00-\x20\x7F]", "")
+    url, first_url = percent_encoded(F.col(url_col)), percent_encoded(F.col("refers_to_url"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    rid = lambda c: F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+
+    def record_id(page, at):
+        return F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.substring(F.sha2(F.concat_ws("|", "payload_digest", at), 256), 1, 32), F.lit(">"))
+
+    original = F.concat(
+        line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id("refers_to", first_url)), line("WARC-Refers-To-Date", F.lit(date)),
+        F.when(first_url != "", line("WARC-Refers-To-Target-URI", first_url)).otherwise(""),
+    )
     head = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", rid(id_col)), line("WARC-Date", F.lit(date)),
+        F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", record_id(id_col, url)), line("WARC-Date", F.lit(date)),
         F.when(url != "", line("WARC-Target-URI", url)).otherwise(""), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", rid("refers_to")))).otherwise(""),
+        F.when(revisit, original).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")), line("Content-Length", length.cast("string")), F.lit(CRLF),
     )
     body = F.when(revisit, "").otherwise(F.coalesce(F.col(payload_col), F.lit("")))
-    return resolved.select(F.concat(head, http, body).alias("value"))
+    return resolved.select(F.concat(head, http, body).alias("value"), "payload_bytes")
+
+
+def size_class(size):
+    """0 for the smallest payloads; each class has files of so many records that they stay below FILE_BYTES."""
+    out = F.lit(len(CLASSES))
+    for k, most in reversed(list(enumerate(CLASSES))):
+        out = F.when(size <= most, k).otherwise(out)
+    return out
+
+
+def write(records: DataFrame, path: str, present: list[int] | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Plain WARC files, one write for each class of payload size (those of `present`, or all); the blank lines that end a
+    record are the writer's line separator. An empty table gives no file with a record."""
+    for k in range(len(CLASSES) + 1) if present is None else present:
+        most = max(1, file_bytes // CLASSES[k]) if k < len(CLASSES) else 1
+        some = records.filter(size_class(F.col("payload_bytes")) == k).select("value")
+        some.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", most).text(path)
 
 
-def write(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Plain WARC files; the blank lines that end a record are the writer's line separator."""
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", file_records).text(path)
+def classes_present(pages: DataFrame, payload_col: str = "html") -> list[int]:
+    """The size classes that occur, four at most."""
+    size = size_class(F.coalesce(F.octet_length(F.col(payload_col)), F.lit(0)))
+    return sorted(r["k"] for r in pages.select(size.alias("k")).distinct().collect())
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -95,10 +139,11 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    A response whose payload does not match its digest or length raises; revisits have a null payload.
+    A response whose payload does not match its digest or length raises; revisits have a null payload, urls are as in the
+    headers, and a folder of empty files gives no row. A task holds one file.
     """
     python_batches(spark)
-    number = re.compile(rf"<{RECORD_ID}(-?\d*)>")
+    number = re.compile(rf"<{RECORD_ID}(-?\d*):[0-9a-f]*>")
 
     def page(value: str | None) -> int | None:
         found = number.fullmatch(value or "")
@@ -125,8 +170,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: writes all pages as archives and reads them back."""
-    path = fresh_path(spark, "warc")
-    write(as_records(resolve(table(spark, sf_dir, "pages").select("page_id", "url", "html"))), path)
+    path, pages = fresh_path(spark, "warc"), table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    write(as_records(resolve(pages)), path, classes_present(pages) or [0])
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
