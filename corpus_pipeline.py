@@ -38,7 +38,7 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two rows each."""
     taken = mixing.mix(docs.select(COLUMNS)).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1, cast(copies AS int))"))).select(COLUMNS)
+    return taken.select(*COLUMNS, F.explode(F.expr("sequence(1, cast(copies AS int))"))).select(COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
