@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewarden.operators import estate, governance, graph, identify, measure, policy, warehouse
+from tracewarden import catalog
+from tracewarden.functions import names
+from tracewarden.operators import estate, governance, graph, identify, incidents, measure, policy, warehouse
 from tracewarden.plans import lineage
 from tracewarden.sources import tables
 from tracewarden.streaming import recordings
@@ -97,22 +99,148 @@ def test_policy(spark):
         policy.pack("elsewhere")
 
 
-def test_incidents_already_open_are_not_raised(spark, sf_dir):
+#: Fixed values of the census coding, written here apart from the declarations.
+GOLDEN_CODES = {
+    "race": "1 2 3 6 8 9", "sex": "1 2", "disability": "1 2", "marital_status": "1 2 3 4 5", "citizenship": "1 2 3 4 5", "nativity": "1 2",
+}
+GOLDEN_REFERENCES = {"race": "1", "sex": "1", "disability": "2", "marital_status": "1", "citizenship": "1", "nativity": "1", "age": None, "place_of_birth": "0", "ancestry": "0"}
+#: Attribute: basis under ecoa, employment_us, canada, eu_ai_act.
+GOLDEN_MATRIX = """
+race prohibited prohibited prohibited prohibited
+sex prohibited prohibited prohibited prohibited
+disability - prohibited prohibited prohibited
+marital_status prohibited examine prohibited examine
+citizenship prohibited prohibited prohibited examine
+nativity prohibited prohibited prohibited examine
+age conditional prohibited prohibited examine
+place_of_birth prohibited prohibited prohibited examine
+ancestry prohibited prohibited prohibited prohibited
+"""
+
+
+def test_policy_golden_tables(spark):
+    found = {}
+    for r in policy.codes(spark).collect():
+        found.setdefault(r["attribute"], []).append(r["code"])
+    assert {a: " ".join(sorted(found[a])) for a in GOLDEN_CODES} == GOLDEN_CODES
+    assert {r["attribute"]: r["reference"] for r in policy.attributes(spark).collect() if r["attribute"] in GOLDEN_REFERENCES} == GOLDEN_REFERENCES
+    basis = {(r["attribute"], r["regime"]): r["basis"] for r in policy.resolved(spark).collect()}
+    for line in GOLDEN_MATRIX.split("\n"):
+        if line:
+            a, *bases = line.split()
+            assert [basis.get((a, r), "-") for r in ("ecoa", "employment_us", "canada", "eu_ai_act")] == bases
+    proxies = {r["attribute"] for r in policy.encodings(spark).filter("proxy_for = 'national origin'").collect()}
+    assert proxies == {"citizenship", "nativity", "place_of_birth", "ancestry"}
+    assert {"ecoa", "canada"} <= set(policy.available()) and policy.pack()["citation"] == "15 U.S.C. 1691"
+
+
+def test_names_by_aliases(spark):
+    asked = ["applicant_sex", "SEX", "rac1p", "place_of_birth_code", "marital_status", "q4_resp", "age", "package", "DIS_FLAG", None, "ancestry_code", "sexual"]
+    columns = tables.dimension(spark, [(c,) for c in asked] + [("SEX",)], "column_name string")
+    census = policy.encodings(spark).filter(F.col("attribute").isin(*GOLDEN_REFERENCES))
+    assert got(identify.by_name(columns, census)) == [
+        ("DIS_FLAG", "disability", "exact"), ("SEX", "sex", "exact"), ("age", "age", "exact"), ("ancestry_code", "ancestry", "exact"), ("applicant_sex", "sex", "exact"),
+        ("marital_status", "marital_status", "exact"), ("place_of_birth_code", "place_of_birth", "exact"), ("rac1p", "race", "exact"),
+    ]
+    loose = tables.dimension(spark, [("racetype",), ("disability2x",), ("sexual",)], "column_name string")
+    assert got(identify.by_name(loose, census)) == [("disability2x", "disability", "loose"), ("racetype", "race", "loose")]
+    assert identify.by_name(columns.limit(0), census).count() == identify.by_name(columns, census.limit(0)).count() == 0
+
+
+def test_incidents_already_open_are_not_raised(spark, sf_dir, tmp_path):
     warehouse.build(spark, sf_dir)
-    planned = governance.incident_plan(spark)
-    assert governance.incidents_to_raise(planned, planned).count() == 0
-    assert governance.incidents_to_raise(planned.unionByName(planned), planned.limit(0)).count() == planned.count()
+    planned = incidents.tag_incidents(spark)
+    assert incidents.to_raise(planned, planned).count() == 0
+    assert incidents.to_raise(planned.unionByName(planned), planned.limit(0)).count() == planned.count()
+    path = f"file://{tmp_path}/incidents"
+    assert got(incidents.file(planned, path).select("outcome").distinct()) == [("would file",)] and incidents.open_incidents(spark, path).count() == 0
+    assert got(incidents.file(planned, path, write=True).select("outcome").distinct()) == [("filed",)]
+    assert got(incidents.file(planned, path, write=True).select("outcome").distinct()) == [("already open",)]
+    assert incidents.open_incidents(spark, path).count() == planned.count() > incidents.open_incidents(spark, path, "order_desk").count() > 0
+
+
+def test_families_and_feature_tables(spark, sf_dir):
+    found = tables.dimension(spark, [("a",), ("a_3",), ("ab_3",), ("a_b_3",)], "model string")
+    assert got(incidents.of_family(found, "a")) == [("a",), ("a_3",)]
+    recorded = tables.dimension(spark, [("value-classifier", None), ("value-classifier", "old"), ("unknown", None)], "model string, feature_table string")
+    assert got(incidents.with_feature_table(recorded, spark)) == [("unknown", None), ("value-classifier", "old"), ("value-classifier", "value_features")]
+    assert got(tables.dimension(spark, [("a \t\n b ",)], "t string").select(names.flat(F.col("t")))) == [("a b",)]
+
+
+def test_names_resolve_or_say_why_not(spark, sf_dir):
+    warehouse.build(spark, sf_dir)
+    assert estate.resolved(spark, tables.dimension(spark, [], "target string")).count() == 0
+    with pytest.raises(KeyError, match="no such table"):
+        governance.columns_of(spark, "nowhere")
+
+
+def test_recordings_are_measured_compared_and_explained(spark, sf_dir):
+    made = catalog.QUERIES["record_exposure"](spark, sf_dir, least=100).collect()
+    assert {(r["seq"], r["column_name"]) for r in made} == {(s, c) for s in (1, 2) for c in ("segment", "status_code")} and len(made) == 12
+    # The gained column holds the segment; status_code is not among what rebuilds it.
+    assert all(r["auc"] == 1.0 for r in made if r["seq"] == 2 and r["column_name"] == "segment") and all(r["auc"] < 0.7 for r in made if r["column_name"] == "status_code")
+    assert catalog.QUERIES["record_exposure"](spark, sf_dir, least=10**9).count() == 0
+    status = {(r["column_name"], r["grp"]): r["status"] for r in catalog.QUERIES["exposure_compare"](spark, sf_dir, least=100).collect()}
+    assert {s for (c, _), s in status.items() if c == "segment"} == {"fires"}
+    found = catalog.QUERIES["root_cause"](spark, sf_dir, least=100).collect()
+    assert {r["column_name"] for r in found} == {"market_code", "priority_code", "account_balance_usd"} and {r["conclusion"] for r in found} == {"candidates"}
+    assert {r["sources"] for r in found if r["column_name"] == "market_code"} == {"raw_customer.c_mktsegment"} and all(r["n_shifts"] >= 4 for r in found)
+
+
+def test_tables_are_replaced_and_typed(spark, tmp_path):
+    name = "replaced_by_test"
+    for n in (3, 2):
+        tables.replace_table(spark.range(n), name)
+        assert spark.table(name).count() == n
+    spark.sql(f"DROP TABLE {name}")
+    kinds = {"int64": "bigint", "uint8": "bigint", "float64": "double", "double": "double", "bool": "boolean", "object": "string", "date": "string"}
+    assert {k: tables.declared_type(k).simpleString() for k in kinds} == kinds
+    tables.write_json(spark.range(1), f"file://{tmp_path}/none", write=False)
+    assert not (tmp_path / "none").exists()
+    assert got(tables.dimension(spark, [("p://u:x@y@h:1/d",), ("h/d",), (None,)], "u string").select(tables.without_credentials(F.col("u")))) == [("h/d",), ("h:1/d",), (None,)]
+
+
+def test_event_counts_of_a_stream(spark, tmp_path):
+    schema = "ts timestamp, event_type string"
+    spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2024-01-01 01:10:00', NULL").write.parquet(f"{tmp_path}/in")
+    q = recordings.event_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("event_counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["event_type"] or "", r["n"]) for r in spark.table("event_counts").collect()) == [("", 1), ("a", 2)]
 
 
 def test_auc(spark):
     rows = [("a", 1, 3), ("a", 0, 1), ("a", 1, 2), ("a", 0, 2), ("b", 1, 5), ("c", 0, 4), ("c", 1, 4)]
     df = tables.dimension(spark, rows, "g string, y int, score int")
-    assert got(measure.auc(df, ["g"]), "g", "auc", "n_rows") == [("a", 0.875, 4), ("b", None, 1), ("c", 0.5, 2)]
+    assert got(measure.auc(df, ["g"], cut=1), "g", "auc", "n_test", "accuracy") == [("a", 0.875, 4, 0.75), ("b", None, 1, 1.0), ("c", 0.5, 2, 0.5)]
+    assert measure.auc(df.limit(0), ["g"]).count() == 0
+
+
+def test_auc_over_many_ranges_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, int(rng.random() < 0.4), rng.randrange(900)) for g in "ab" for _ in range(1500)]
+    df = tables.dimension(spark, rows, "g string, y int, score int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = {r["g"]: r["auc"] for r in measure.auc(df, ["g"]).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in "ab":
+        pos, neg = ([s for h, y, s in rows if h == g and y == k] for k in (1, 0))
+        assert found[g] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)), abs=1e-9)
+
+
+def test_bayes_scores_take_nulls_and_unseen_values(spark):
+    rows = [(k, "a" if k % 2 else "b", None if k % 3 == 0 else "x") for k in range(200)] + [(999, "a", "only once")]
+    df = tables.dimension(spark, rows, "key int, g string, f string").withColumn("ys", F.array(F.struct(F.lit("all").alias("grp"), (F.col("g") == "a").cast("int").alias("y"))))
+    scored = measure.bayes_scores(df, ["f"], [1, 2])
+    tested = df.filter(measure.is_test(F.lit(1), F.col("key"))).count()
+    assert scored.filter("seed = 1").count() == tested and got(measure.subset_sizes(df)) == [("all", 201)]
+    assert measure.bayes_scores(df.limit(0), ["f"], [1]).count() == 0
 
 
 def test_one_seed_has_no_spread(spark):
-    df = tables.dimension(spark, [("g", 1, 0.7, 10, 0.4)], "g string, seed int, auc double, n_rows long, positive_rate double")
-    assert got(measure.over_seeds(df, ["g"])) == [("g", 0.7, 0.0, 10, 0.4, 0.6)]
+    df = tables.dimension(spark, [("g", 1, 0.7, 0.8, 10, 0.4)], "g string, seed int, auc double, accuracy double, n_test long, positive_rate double")
+    assert got(measure.over_seeds(df, ["g"])) == [("g", 0.7, 0.0, 0.8, 10, 0.4, 0.6)]
+    assert measure.seeds_from(17, 3) == [17, 18, 19] and measure.seeds_from(5, 0) == [5]
 
 
 def test_compare_published_change(spark):
@@ -143,6 +271,10 @@ def test_identify_rules(spark):
 def test_profile_leaves_out_nulls_and_wide_columns(spark):
     df = spark.range(10).selectExpr("CAST(id AS string) AS wide", "IF(id < 4, 'a', NULL) AS few", "CAST(NULL AS string) AS empty")
     assert got(identify.profile(df, ["wide", "few", "empty"], most=5)) == [("few", "a", 4, 1.0)]
+    assert got(identify.profile(df, ["wide"], most=2)) == [] and got(identify.profile(df.limit(0), ["few"])) == []
+    codes = tables.dimension(spark, [("x", "a"), ("x", "b")], "attribute string, code string")
+    assert got(identify.by_values(identify.profile(df, ["few"]), codes)) == [("few", "x", 0.5, 0.0)]
+    assert identify.by_values(identify.profile(df.limit(0), ["few"]), codes).count() == 0
 
 
 def test_warehouse_helpers(spark):

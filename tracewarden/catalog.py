@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import estate, governance, graph, identify, measure, policy, warehouse
+from .operators import estate, governance, graph, identify, incidents, measure, policy, warehouse
+from .sources import tables
 from .sources.tables import dimension, parquet, select_available, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SEEDS = [17, 18, 19]
+SEEDS = measure.seeds_from(17, 3)
 FEATURES = ["status_code", "priority_code", "origin_name", "proxy"]
 REFERENCE = "BUILDING"
 #: Boosting rounds, as the reference has them.
@@ -119,7 +120,70 @@ def walk_agreement(spark):
 
 @query
 def catalog_search(spark):
-    return estate.entities(spark).filter(F.col("name").contains("order")).select("type", "name")
+    return estate.search(spark, "order", ["dataset"]).select("type", "name").unionByName(estate.search(spark, "*", ["mlModel"]).select("type", "name"))
+
+
+@query
+def name_resolution(spark):
+    asked = ["dim_order", "size", "stg_", "nowhere", "urn:li:dataset:(urn:li:dataPlatform:spark,stg_order,PROD)"]
+    return estate.resolved(spark, dimension(spark, [(x,) for x in asked], "target string"))
+
+
+@query
+def entities_by_name(spark):
+    return estate.entities(spark).groupBy("name").agg(F.concat_ws(",", F.sort_array(F.collect_set("urn"))).alias("urns"))
+
+
+@query
+def neighbours(spark):
+    return estate.neighbours(spark)
+
+
+@query
+def column_parents(spark):
+    return estate.edges(spark).filter("down_table = 'dim_order'").select("down_column", "up_table", "up_column")
+
+
+@query
+def training_datasets(spark):
+    return estate.training_datasets(spark)
+
+
+@query
+def lineage_walk(spark):
+    """Three hops down from one table, nearest first, as an agent reads it; with what is open on each node."""
+    seeds = dimension(spark, [("stg_customer",)], "seed string")
+    walked = graph.reach(estate.table_edges(spark), 3, seeds).unionByName(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops")))
+    return incidents.health(walked, incidents.tag_incidents(spark).filter("regime = 'order_desk'")).orderBy(F.coalesce("hops", F.lit(99)), "node")
+
+
+@query
+def column_list(spark):
+    return governance.columns_of(spark, "dim_order")
+
+
+@query
+def dataset_source(spark):
+    """Feature tables as declared sources: an address without credentials."""
+    at = tables.without_credentials(F.lit("warehouse://user:p@ss@store:5433/orders"))
+    return estate.models(spark).filter("feature_table IS NOT NULL").select(F.concat(F.lit("warehouse://"), at, F.lit("/"), "feature_table").alias("uri")).distinct()
+
+
+@query
+def foreign_entities(spark):
+    """Tables that edges name outside this estate's own prefixes."""
+    every = estate.edges(spark).select(F.col("up_table").alias("name")).union(estate.edges(spark).select("down_table")).distinct()
+    return every.filter(~F.col("name").rlike("^(raw|stg|dim)_|_features$"))
+
+
+@query
+def materialized_marts(spark):
+    """Rows of the marts after saving and reading them back."""
+    out = None
+    for name, place in warehouse.materialize(spark, tables.fresh_folder(spark, "marts")).items():
+        one = spark.read.parquet(place).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -182,6 +246,21 @@ def phantom_tables(spark):
     return governance.warnings(spark)
 
 
+@query
+def violation_report(spark):
+    return governance.report(spark)
+
+
+@query
+def policy_by_column(spark):
+    return policy.by_column(spark)
+
+
+@query
+def attribute_aliases(spark):
+    return identify.aliases(policy.encodings(spark)).distinct()
+
+
 @query
 def violation_counts(spark):
     return governance.violations(spark).groupBy("regime", "model", "basis").agg(F.count(F.lit(1)).alias("n"))
@@ -217,13 +296,41 @@ def provenance_chain(spark):
 
 @query
 def incident_plan(spark):
-    return governance.incident_plan(spark)
+    return incidents.tag_incidents(spark)
 
 
 @query
 def incident_dedupe(spark):
-    planned = governance.incident_plan(spark)
-    return governance.incidents_to_raise(planned, planned.filter("regime = 'order_desk'").select("resource", "title")).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+    planned = incidents.tag_incidents(spark)
+    return incidents.to_raise(planned, planned.filter("regime = 'order_desk'").select("resource", "title")).groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _deltas(spark):
+    compared = measure.compare(*_sides(spark)).join(dimension(spark, [("value-classifier", None), ("size-classifier", "size_features")], "model string, feature_table string"), "model")
+    return incidents.delta_incidents(spark, compared, "order_desk")
+
+
+@query
+def incident_union(spark):
+    """Tag findings and moved measurements together, of one model family."""
+    return incidents.of_family(incidents.tag_incidents(spark).unionByName(_deltas(spark)), "value-classifier")
+
+
+@query
+def incident_filing(spark):
+    """Filed once for one regime, then planned again for all without writing."""
+    path = tables.fresh_folder(spark, "incidents")
+    planned = incidents.tag_incidents(spark)
+    incidents.file(planned.filter("regime = 'order_desk'"), path, write=True)
+    return incidents.file(planned, path)
+
+
+@query
+def incidents_open(spark):
+    """What one regime has open, read back after everything was filed."""
+    path = tables.fresh_folder(spark, "incidents")
+    incidents.file(incidents.tag_incidents(spark).unionByName(_deltas(spark)), path, write=True)
+    return incidents.open_incidents(spark, path, "order_desk").select("kind", "title", "resource", "priority")
 
 
 @query
@@ -241,7 +348,7 @@ def _profiled(spark):
 
 
 def _columns(spark):
-    listed = ["segment", "status_code", "nation_name", "priority_code", "order_ref", "account_balance", "mystery"]
+    listed = ["segment", "status_code", "nation_name", "priority_code", "order_ref", "account_balance", "mystery", "applicant_sex", "RAC1P", "place_of_birth_code", "marketplace"]
     return dimension(spark, [(n,) for n in listed], "column_name string")
 
 
@@ -257,69 +364,75 @@ def code_set_match(spark):
 
 @query
 def name_match(spark):
-    return identify.by_name(_columns(spark), policy.attributes(spark))
+    return identify.by_name(_columns(spark), policy.encodings(spark))
 
 
 @query
 def identify_verdict(spark):
-    return identify.verdict(_columns(spark), identify.by_name(_columns(spark), policy.attributes(spark)), identify.by_values(_profiled(spark), policy.codes(spark)))
+    return identify.verdict(_columns(spark), identify.by_name(_columns(spark), policy.encodings(spark)), identify.by_values(_profiled(spark), policy.codes(spark)))
 
 
 # Measurement
 
 
+def _ys(column: str, reference: str, groups: list[str]):
+    """The groups that a row takes part in: the reference's rows in all of them, the others in their own."""
+    zero = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(0).alias("y")) for g in groups])
+    own = F.array(F.struct(F.col(column).alias("grp"), F.lit(1).alias("y")))
+    return F.when(F.col(column) == reference, zero).when(F.col(column).isin(*groups), own)
+
+
+def _orders(spark):
+    """Orders with their segment, plain features and a planted `proxy`, which shows the segment of most of them."""
+    dim = spark.table("dim_order").select(F.col("order_id").alias("key"), "segment", "status_code", "priority_code", F.col("nation_name").alias("origin_name"))
+    return dim.withColumn("proxy", F.when(F.substring(F.md5(F.concat(F.lit("p:"), F.col("key").cast("string"))), 1, 1) < "c", F.col("segment")).otherwise("x"))
+
+
 def _frame(spark):
-    """Orders with their segment as group, once for each group other than the reference; most of them show it in `proxy`."""
-    dim = spark.table("dim_order").select("order_id", "segment", "status_code", "priority_code", F.col("nation_name").alias("origin_name"))
-    proxy = F.when(F.substring(F.md5(F.concat(F.lit("p:"), F.col("order_id").cast("string"))), 1, 1) < "c", F.col("segment")).otherwise("x")
     codes = [c for c in policy.declared()["segment"]["categories"] if c != REFERENCE]
-    spread = dim.withColumn("proxy", proxy).withColumn("grp", F.explode(F.when(F.col("segment") == REFERENCE, F.array(*map(F.lit, codes))).otherwise(F.array("segment"))))
-    return spread.select("grp", F.col("order_id").alias("key"), (F.col("segment") == F.col("grp")).cast("int").alias("y"), *FEATURES)
+    return _orders(spark).withColumn("ys", _ys("segment", REFERENCE, codes)).filter("ys IS NOT NULL")
 
 
 @query
 def group_subset_gates(spark):
-    return measure.group_gates(spark.table("dim_order"), "segment", REFERENCE, 600)
+    return measure.group_gates(spark.table("dim_order"), "segment", REFERENCE)
 
 
 @query
 def reconstruct_bayes(spark):
-    scored = measure.bayes_scores(_frame(spark), FEATURES, SEEDS, ["grp"])
-    return measure.over_seeds(measure.auc(scored, ["grp", "seed"]), ["grp"])
+    frame = _frame(spark)
+    found = measure.over_seeds(measure.auc(measure.bayes_scores(frame, FEATURES, SEEDS), ["grp", "seed"]), ["grp"])
+    return found.join(measure.subset_sizes(frame), "grp")
 
 
 @query
 def single_feature_auc(spark):
-    return measure.auc(measure.bayes_scores(_frame(spark), FEATURES, SEEDS[:1], ["grp"], alone=True), ["grp", "feature"])
+    return measure.auc(measure.bayes_scores(_frame(spark), FEATURES, SEEDS[:1], alone=True), ["grp", "feature"]).orderBy("grp", F.desc("auc"))
 
 
 @query
 def worst_group(spark):
-    aucs = measure.auc(measure.bayes_scores(_frame(spark), FEATURES, SEEDS[:1], ["grp"]), ["grp"])
+    aucs = measure.auc(measure.bayes_scores(_frame(spark), FEATURES, SEEDS[:1]), ["grp"])
     return aucs.agg(F.max_by("grp", F.struct("auc", "grp")).alias("grp"), F.max("auc").alias("auc"))
 
 
+def _screened(spark):
+    """Rows with a segment; y says whether it is the reference, as the reference's own screen asks."""
+    y = F.array(F.struct(F.lit("all").alias("grp"), (F.col("segment") == REFERENCE).cast("int").alias("y")))
+    return measure.screen(_orders(spark).dropna(subset=["segment"]).withColumn("ys", y), ["status_code", "priority_code"], estate.HYPOTHESES, SEEDS)
+
+
 @query
 def proxy_screen(spark):
-    """Lift of each hypothesis over two plain features, for one group; columns that are missing are listed untested."""
-    frame = _frame(spark).filter("grp = 'AUTOMOBILE'")
-    base = ["status_code", "priority_code"]
-
-    def scored(features, name):
-        out = measure.over_seeds(measure.auc(measure.bayes_scores(frame, features, SEEDS), ["seed"]).withColumn("hypothesis", F.lit(name)), ["hypothesis"])
-        return out.select("hypothesis", "auc", "auc_stdev")
-
-    plain = scored(base, "").select(F.col("auc").alias("base"), F.col("auc_stdev").alias("base_sd"))
-    tested = [(h, c) for h, c in estate.HYPOTHESES if c in frame.columns]
-    runs = [scored([*base, c], h) for h, c in tested]
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    noise = F.greatest((F.col("base_sd") + F.col("auc_stdev")) / 2, F.lit(measure.FLOOR))
-    threshold, lift = F.greatest(F.lit(measure.LEAST_CHANGE), measure.NOISES * noise), F.col("auc") - F.col("base")
-    out = out.join(plain).select("hypothesis", F.round(lift, 6).alias("lift"), (lift >= threshold).alias("fires"))
-    every = dimension(spark, estate.HYPOTHESES, "hypothesis string, column_name string")
-    return every.join(out, "hypothesis", "left").select("hypothesis", "column_name", F.col("lift").isNotNull().alias("tested"), "lift", "fires")
+    return _screened(spark)
+
+
+@query
+def screen_sink(spark):
+    """The screen's results as JSON, read back."""
+    path = tables.fresh_folder(spark, "screen")
+    tables.write_json(_screened(spark), path)
+    return spark.read.schema("hypothesis string, tested boolean, why_not string, fires boolean").json(path)
 
 
 # Recordings
@@ -354,6 +467,78 @@ def features_gained_lost(spark):
     return lists.select("model", F.concat_ws(",", F.array_except(split("now"), split("was"))).alias("gained"), F.concat_ws(",", F.array_except(split("was"), split("now"))).alias("lost"))
 
 
+@query
+def recorded_models(spark):
+    return estate.recordings(spark).select("model").distinct()
+
+
+def _recorded(spark, least: int = measure.LEAST_ROWS):
+    """A history of the serving model: measured with the features of its version 1, then of version 2; read back."""
+    path, frame = tables.fresh_folder(spark, "recordings"), None
+    for seq, version in ((1, "1"), (2, "2")):
+        row = estate.models(spark).filter((F.col("model") == "value-classifier") & (F.col("version") == version)).first()
+        frame = frame or _serving_frame(spark)
+        tables.append_history(_exposure(spark, frame, row, seq, least), path)
+    return tables.read_history(spark, path, EXPOSURE)
+
+
+EXPOSURE = "model string, seq int, version string, feature_table string, features string, column_name string, grp string, against string, auc double, auc_stdev double, n_rows long"
+
+
+def _exposure(spark, serving, version, seq: int, least: int):
+    """One recording: every testable attribute and group that has rows enough, the attribute itself never among the features."""
+    frame, _, tests = serving
+    numeric = {c for c, kind in frame.dtypes if kind not in ("string", "boolean")}
+    features = [c for c in version["features"].split(",") if c in frame.columns]
+    out = None
+    for column, reference in sorted({(c, ref) for c, ref, _ in tests}):
+        # Numbers are scored by thousands.
+        used = [F.floor(F.col(c) / 1000).cast("string").alias(c) if c in numeric else F.col(c) for c in features if c != column]
+        target, groups = f"target_{column}", [g for c, _, g in tests if c == column]
+        rows = frame.select("key", *used, F.col(target)).withColumn("ys", _ys(target, reference, groups)).filter("ys IS NOT NULL")
+        found = measure.over_seeds(measure.auc(measure.bayes_scores(rows, [c for c in features if c != column], SEEDS), ["grp", "seed"]), ["grp"])
+        found = found.join(measure.subset_sizes(rows), "grp").filter(F.col("n_rows") >= least)
+        head = [F.lit(version["model"]).alias("model"), F.lit(seq).alias("seq"), F.lit(version["version"]).alias("version"), F.lit(version["feature_table"]).alias("feature_table"), F.lit(version["features"]).alias("features")]
+        found = found.select(*head, F.lit(column).alias("column_name"), "grp", F.lit(reference).alias("against"), "auc", "auc_stdev", "n_rows")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def record_exposure(spark, **options):
+    return _recorded(spark, **options)
+
+
+def _compared(history):
+    last = measure.last_two(history.select("model", "seq").distinct()).select("model", "seq", "back")
+    both = history.join(last, ["model", "seq"])
+    return measure.compare(both.filter("back = 1"), both.filter("back = 0"))
+
+
+@query
+def exposure_compare(spark, **options):
+    """The recordings that record_exposure made, held against each other, largest change first."""
+    return _compared(_recorded(spark, **options)).orderBy(F.desc(F.abs("delta")))
+
+
+@query
+def root_cause(spark, **options):
+    """Why a model moved: each column that its newest version gained, with its origin and what regimes say of it.
+
+    Several columns that came together are candidates, never ranked.
+    """
+    history = _recorded(spark, **options)
+    shifts = _compared(history).filter("status = 'fires'").groupBy("model").agg(F.count(F.lit(1)).alias("n_shifts"))
+    last = measure.last_two(history.select("model", "seq", "features", "feature_table").distinct())
+    lists = last.groupBy("model").agg(*[F.max(F.when(F.col("back") == b, F.split("features", ","))).alias(n) for b, n in ((0, "now"), (1, "was"))], F.max(F.when(F.col("back") == 0, F.col("feature_table"))).alias("table_name"))
+    gained = lists.filter("was IS NOT NULL").select("model", "table_name", F.explode(F.array_except("now", "was")).alias("column_name"), F.size(F.array_except("now", "was")).alias("k"))
+    found = gained.join(governance.origins(spark), ["table_name", "column_name"], "left")
+    said = governance.protected_reaching(spark).select("table_name", F.col("feature").alias("column_name"), "regime", "attribute", "basis")
+    found = found.join(said, ["table_name", "column_name"], "left").join(shifts, "model", "left")
+    verdict = F.when(F.col("k") == 1, "cause").otherwise("candidates")
+    return found.select("model", "column_name", "hops", "sources", "renamed", "regime", "attribute", "basis", F.coalesce("n_shifts", F.lit(0)).alias("n_shifts"), verdict.alias("conclusion"))
+
+
 def _serving_frame(spark, model="value-classifier"):
     """(frame, features, tests): training rows of the serving version with `target_<column>` of every attribute that a
     regime restricts and that can be tested, and (column, reference, group) for each group that occurs."""
@@ -412,7 +597,7 @@ def reconstruct_gbt(spark, rounds=ROUNDS, seeds=SEEDS):
     for part in parts[1:]:
         every = every.unionByName(part)
     by = ["column_name", "grp"]
-    return measure.over_seeds(measure.auc(every, [*by, "seed"]), by).orderBy(F.desc("auc"), *by)
+    return measure.over_seeds(measure.auc(every, [*by, "seed"], cut=0.5), by).orderBy(F.desc("auc"), *by)
 
 
 def _over_files(name):

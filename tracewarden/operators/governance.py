@@ -25,6 +25,13 @@ def columns(spark: SparkSession) -> DataFrame:
     return dimension(spark, [(n, c, i) for n in MODELS for i, c in enumerate(spark.table(n).columns)], "table_name string, column_name string, position int")
 
 
+def columns_of(spark: SparkSession, table: str) -> DataFrame:
+    """(position, column_name) of one table, in its order; a table that is absent raises KeyError."""
+    if not spark.catalog.tableExists(table):
+        raise KeyError(f"no such table: {table}")
+    return dimension(spark, list(enumerate(spark.table(table).columns, 1)), "position int, column_name string")
+
+
 def protected_reaching(spark: SparkSession) -> DataFrame:
     """For each regime, table and column: its nearest origin, itself included, with a tag that is in the regime's scope.
 
@@ -42,15 +49,25 @@ def protected_reaching(spark: SparkSession) -> DataFrame:
     return out.select(
         "regime", "table_name", F.col("column_name").alias("feature"), F.col("up_table").alias("origin_table"), F.col("up_column").alias("origin_column"), "hops", "tags",
         "attribute", F.coalesce("basis", F.lit("examine")).alias("basis"), "citation",
+        F.when(F.col("attribute").isNull(), F.concat(F.lit("carries "), F.col("tags"), F.lit(", which "), F.col("regime"), F.lit(" watches"))).alias("why"),
     )
 
 
 def violations(spark: SparkSession) -> DataFrame:
     """protected_reaching of the tables that serving model versions are trained on, one row for each model."""
-    trained = estate.serving(spark).select("model", "version", "stage", F.col("feature_table").alias("table_name"))
+    trained = estate.training_datasets(spark).filter(F.col("stage").isin(*estate.SERVING)).drop("hops")
     return trained.join(protected_reaching(spark), "table_name")
 
 
+def report(spark: SparkSession) -> DataFrame:
+    """Violations in the order of a report: the gravest basis first, then by feature; with the number of each model's
+    findings on that basis."""
+    same = Window.partitionBy("regime", "model", "basis")
+    rank = policy.basis_rank(F.col("basis"))
+    out = violations(spark).select("regime", "model", "feature", "basis", "attribute", rank.alias("severity"), F.count(F.lit(1)).over(same).alias("n_on_basis"))
+    return out.orderBy("regime", "model", "severity", "feature")
+
+
 def warnings(spark: SparkSession) -> DataFrame:
     """(model, table_name, warning): serving models without a training table, and tables that edges name but nobody has."""
     served = estate.serving(spark).select("model", "feature_table")
@@ -93,15 +110,3 @@ def origins(spark: SparkSession) -> DataFrame:
         F.max("hops").alias("hops"), F.concat_ws(",", F.sort_array(F.collect_set(F.concat_ws(".", "up_table", "up_column")))).alias("sources"),
         F.max(F.col("up_column") != F.col("column_name")).alias("renamed"),
     )
-
-
-def incident_plan(spark: SparkSession) -> DataFrame:
-    """One incident for each violation; its title names regime, model, feature and attribute and is the key against repeats."""
-    priority = F.when(F.col("basis") == "prohibited", "CRITICAL").when(F.col("basis") == "conditional", "HIGH").when(F.col("basis") == "examine", "LOW").otherwise("MEDIUM")
-    title = F.concat(F.coalesce("attribute", F.lit("tagged column")), F.lit(" reaches "), "model", F.lit(" through "), "feature", F.lit(" under "), "regime")
-    return violations(spark).select(title.alias("title"), F.col("table_name").alias("resource"), priority.alias("priority"), "regime", "model").distinct()
-
-
-def incidents_to_raise(planned: DataFrame, open_ones: DataFrame) -> DataFrame:
-    """Planned incidents whose (resource, title) is not open yet, each once."""
-    return planned.join(open_ones.select("resource", "title"), ["resource", "title"], "left_anti").dropDuplicates(["resource", "title"])

@@ -11,7 +11,15 @@ STORAGE = "code cd flag id key num usd amt ind"
 
 
 def profile(df: DataFrame, columns: list[str], most: int = MOST_VALUES) -> DataFrame:
-    """(column_name, value, n, share) of non-null values, all columns in one job; columns with more than `most` values give no row."""
+    """(column_name, value, n, share) of non-null values, all columns in one job; columns with more than `most` values give no row.
+
+    Columns whose estimated number of values is far above `most` are left out first, so that keys are not grouped; the
+    estimate's error is a few per cent, and what is near or below is counted exactly. An empty table gives no row.
+    """
+    guesses = df.agg(*[F.approx_count_distinct(F.col(c).cast("string"), 0.02).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    columns = [c for c, k in zip(columns, guesses, strict=True) if k <= 2 * most]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n long, share double")
     long = df.select(F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("column_name", "value")).filter("value IS NOT NULL")
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).filter(F.col("k") <= most)
@@ -34,17 +42,30 @@ def plain(name):
     return F.regexp_replace(out, f"( ({'|'.join(STORAGE.split())}))+$", "")
 
 
+def aliases(attributes: DataFrame) -> DataFrame:
+    """(attribute, alias) of attributes (attribute, encoding): the name itself, and from the encoding's text its codebook
+    tokens (runs of capitals and digits) and its words of four signs or more. The column that holds it is no alias."""
+    plain_words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("encoding", F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    tokens = F.transform(F.regexp_extract_all(F.coalesce("encoding", F.lit("")), F.lit(r"\b([A-Z][A-Z0-9]{1,9})\b")), F.lower)
+    words = F.concat(tokens, F.filter(plain_words, lambda w: F.length(w) > 3), F.array("attribute", F.regexp_replace("attribute", "_", " ")))
+    return attributes.select("attribute", F.explode(F.array_except(F.array_distinct(words), F.array(F.lit("pums"), F.lit("")))).alias("alias"))
+
+
 def by_name(columns: DataFrame, attributes: DataFrame) -> DataFrame:
-    """(column_name, attribute, strength): exact where the plain names are equal, loose where one longer than 3 signs holds the other.
+    """(column_name, attribute, strength) of columns (column_name) and attributes (attribute, encoding).
 
-    Both inputs are names only, so all of them are held against each other.
+    exact: an alias is one of the name's words, or the whole plain name; loose: an alias of four signs or more stands
+    anywhere in the plain name. Null names match nothing; repeated names and empty tables give no repeated or no rows.
     """
-    aliases = attributes.select("attribute", F.explode(F.array(F.regexp_replace("attribute", "_", " "), plain(F.col("column")))).alias("alias")).distinct()
-    # Equal names meet on the name, the others on a word of four signs or more that both have.
-    left = columns.select("column_name", plain(F.col("column_name")).alias("p"))
-    words = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 3)
-    exact = left.join(aliases, left["p"] == aliases["alias"]).select("column_name", "attribute", F.lit("exact").alias("strength"))
-    loose = left.withColumn("w", F.explode(words("p"))).join(aliases.withColumn("w", F.explode(words("alias"))), "w").select("column_name", "attribute", F.lit("loose").alias("strength"))
+    known = aliases(attributes).distinct()
+    left = columns.select("column_name", plain(F.col("column_name")).alias("p")).distinct()
+    tokens = left.select("column_name", F.explode(F.array_distinct(F.concat(F.split("p", " "), F.array("p")))).alias("alias"))
+    exact = tokens.join(known.withColumn("alias", F.regexp_replace("alias", "_", " ")), "alias").select("column_name", "attribute", F.lit("exact").alias("strength"))
+    # Whatever stands in a name is one of its stretches, so these are joined on equality.
+    starts, size = F.sequence(F.lit(1), F.greatest(F.length("p") - 3, F.lit(1))), F.length("p")
+    stretches = left.filter(size > 3).select("column_name", "p", F.explode(starts).alias("i"))
+    stretches = stretches.select("column_name", "p", "i", F.explode(F.sequence(F.lit(4), F.length("p") - F.col("i") + 1)).alias("n")).select("column_name", F.expr("substring(p, i, n)").alias("alias")).distinct()
+    loose = stretches.join(known, "alias").select("column_name", "attribute", F.lit("loose").alias("strength"))
     return exact.unionByName(loose).groupBy("column_name", "attribute").agg(F.min("strength").alias("strength"))
 
 

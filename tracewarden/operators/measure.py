@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import dimension, written
+
 LEAST_CHANGE, NOISES, FLOOR = 0.02, 4, 0.001
 #: Rows below which a group is not measured.
 LEAST_ROWS = 2000
@@ -15,47 +17,109 @@ def is_test(seed: Column, key: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", seed.cast("string"), key.cast("string"))), 1, 1).isin("0", "1", "2", "3")
 
 
-def auc(scored: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., auc, n_rows, positive_rate): Mann-Whitney with average ranks; null where one class is missing.
+def seeds_from(seed: int, repeats: int = 1) -> list[int]:
+    """The seeds of repeated measurements: seed, seed + 1 and so on, one at least."""
+    return list(range(seed, seed + max(1, repeats)))
 
-    Rows are grouped by score first, so the window sorts distinct scores only.
-    """
-    counts = scored.groupBy(*by, "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("u", F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0.0)) + F.col("n") / 2))
-    pairs = F.sum("p") * F.sum("n")
-    total = F.sum("p") + F.sum("n")
-    return counts.groupBy(*by).agg(F.round(F.sum("u") / F.when(pairs > 0, pairs), 9).alias("auc"), total.cast("long").alias("n_rows"), F.round(F.sum("p") / total, 9).alias("positive_rate"))
 
+def auc(scored: DataFrame, by: list[str], cut: float = 0.0) -> DataFrame:
+    """(by..., auc, accuracy, n_test, positive_rate) of rows (by..., y, score): Mann-Whitney with average ranks.
 
-def bayes_scores(frame: DataFrame, features: list[str], seeds: list[int], by: list[str] | None = None, alone: bool = False) -> DataFrame:
-    """(by..., seed, key, y, score) of the test rows of frame (by..., key, y, features as strings), each `by` apart.
-
-    The score sums, over features, the smoothed log-odds of the row's value among training rows, in whole micro-units,
-    so that the sum does not depend on its order. With alone, every feature is scored by itself (column feature).
+    auc is null where one class is missing; accuracy takes scores above `cut` as positive. Rows are grouped by score
+    first. Distinct scores are dealt out by range and added up within a range; the sums of the ranges before, a row for
+    each range and group, are joined. So no task sorts a whole group. An empty table gives no row.
+    """
+    counts = scored.groupBy(*by, "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
+    counts = written(counts.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id()))
+    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("in_part"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("in_part").over(before), F.lit(0.0)).alias("offset"))
+    below = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0.0))).join(parts, [*by, "part"])
+    counts = counts.withColumn("u", F.col("p") * (F.col("offset") + F.col("below") + F.col("n") / 2))
+    pairs, total = F.sum("p") * F.sum("n"), F.sum("p") + F.sum("n")
+    right = F.sum(F.when(F.col("score") > cut, F.col("p")).otherwise(F.col("n")))
+    return counts.groupBy(*by).agg(
+        F.round(F.sum("u") / F.when(pairs > 0, pairs), 9).alias("auc"), F.round(right / total, 9).alias("accuracy"), total.cast("long").alias("n_test"), F.round(F.sum("p") / total, 9).alias("positive_rate")
+    )
+
+
+def bayes_scores(frame: DataFrame, features: list[str], seeds: list[int], alone: bool = False) -> DataFrame:
+    """(grp, seed, y, score) of the test rows of frame (key, ys, features as strings); with alone, of each feature by itself.
+
+    ys lists the groups that a row takes part in as structs (grp, y). The score sums, over features, the smoothed log-odds
+    of the row's value among training rows, in whole micro-units, so that the sum does not depend on its order. Rows are
+    counted by value in one pass; the odds, a row for each value, are looked up by one join a feature, which Spark
+    broadcasts if the table's size allows; no row is dealt out by key. Nulls are a value of their own.
     """
-    by = by or []
-    spread = frame.select(*by, "key", "y", F.explode(F.array(*map(F.lit, seeds))).alias("seed"), *features)
-    spread = spread.withColumn("test", is_test(F.col("seed"), F.col("key")))
-    named = F.create_map(*[x for f in features for x in (F.lit(f), F.coalesce(F.col(f), F.lit("?")))])
-    values = spread.select(*by, "seed", "key", "y", "test", F.explode(named).alias("feature", "value"))
-    at = [*by, "seed", "feature", "value"]
-    odds = values.filter("NOT test").groupBy(*at).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    odds = odds.select(*at, F.round(1e6 * F.ln((F.col("p") + 1.0) / (F.col("n") - F.col("p") + 1.0))).cast("long").alias("w"))
-    group = [*by, *(["feature"] if alone else []), "seed", "key", "y"]
-    return values.filter("test").join(odds, at, "left").groupBy(*group).agg(F.sum(F.coalesce("w", F.lit(0))).alias("score"))
+    marked = frame.select("ys", F.array(*[is_test(F.lit(s), F.col("key")) for s in seeds]).alias("tests"), *[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(f"v{i}") for i, c in enumerate(features)])
+    counts = marked.select("ys", "tests", F.posexplode(F.array(*[f"v{i}" for i in range(len(features))])).alias("f", "v")).groupBy("ys", "tests", "f", "v").agg(F.count(F.lit(1)).alias("n"))
+    split = counts.select("tests", "f", "v", "n", F.explode("ys").alias("g")).select("f", "v", "n", "g.grp", "g.y", F.posexplode("tests").alias("s", "test")).filter("NOT test")
+    odds = split.groupBy("f", "v", "grp", "s").agg(F.sum(F.col("n") * F.col("y")).alias("p"), F.sum("n").alias("n"))
+    weight = F.round(1e6 * F.ln((F.col("p") + 1.0) / (F.col("n") - F.col("p") + 1.0))).cast("long")
+    at = F.concat_ws("|", "s", "grp")
+    table = written(odds.groupBy("f", "v").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("k"), weight.alias("w")))).alias("w")))
+    for i in range(len(features)):
+        marked = marked.join(table.filter(F.col("f") == i).select(F.col("v").alias(f"v{i}"), F.col("w").alias(f"w{i}")), f"v{i}", "left")
+    each = marked.select(F.explode("ys").alias("g"), "tests", *[f"w{i}" for i in range(len(features))])
+    each = each.select("g.grp", "g.y", F.posexplode("tests").alias("s", "test"), *[f"w{i}" for i in range(len(features))]).filter("test")
+    values = [F.coalesce(F.col(f"w{i}")[at], F.lit(0)) for i in range(len(features))]
+    seed = F.array(*map(F.lit, seeds))[F.col("s")].alias("seed")
+    if alone:
+        named = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("score")) for c, v in zip(features, values, strict=True)]))
+        return each.select("grp", seed, "y", named.alias("x")).select("grp", "seed", "y", "x.feature", "x.score")
+    total = values[0]
+    for v in values[1:]:
+        total = total + v
+    return each.select("grp", seed, "y", total.alias("score"))
+
+
+def subset_sizes(frame: DataFrame) -> DataFrame:
+    """(grp, n_rows): how many rows of frame take part in each group, training and test rows alike."""
+    return frame.select(F.explode("ys").alias("g")).groupBy("g.grp").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def over_seeds(aucs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean AUC and sample deviation over seeds (0 for one seed); what counts rows comes from the first seed."""
+    """Mean AUC and sample deviation over seeds (0 for one seed); accuracy and what counts rows come from the first seed."""
     first = lambda c: F.min_by(c, "seed")
     rate = first("positive_rate")
     return aucs.groupBy(*by).agg(
-        F.round(F.avg("auc"), 6).alias("auc"), F.round(F.coalesce(F.stddev_samp("auc"), F.lit(0.0)), 6).alias("auc_stdev"), first("n_rows").alias("n_rows"),
+        F.round(F.avg("auc"), 6).alias("auc"), F.round(F.coalesce(F.stddev_samp("auc"), F.lit(0.0)), 6).alias("auc_stdev"), F.round(first("accuracy"), 6).alias("accuracy"), first("n_test").alias("n_test"),
         F.round(rate, 6).alias("positive_rate"), F.round(F.greatest(rate, 1 - rate), 6).alias("baseline_accuracy"),
     )
 
 
+def screen(frame: DataFrame, base: list[str], hypotheses: list[tuple[str, str | None]], seeds: list[int]) -> DataFrame:
+    """Lift of each hypothesis' column over the base features, all on the same seeds and rows: (hypothesis, column_name,
+    tested, why_not, alone, base, with_it, lift, threshold, fires), tested ones first, by lift.
+
+    A hypothesis fires if its lift reaches the threshold that recordings are compared by. One without a column, or whose
+    column frame (key, ys, columns) lacks, is listed as not tested.
+    """
+    spark, tested = frame.sparkSession, [(h, c) for h, c in hypotheses if c in frame.columns]
+
+    def scored(features):
+        out = over_seeds(auc(bayes_scores(frame, features, seeds), ["grp", "seed"]), ["grp"])
+        return out.select(F.col("auc"), F.col("auc_stdev").alias("sd"))
+
+    every = dimension(spark, [(i, h, c) for i, (h, c) in enumerate(hypotheses)], "i int, hypothesis string, column_name string")
+    runs = [scored(base).select(F.lit(-1).alias("i"), "auc", "sd", F.lit(None).cast("double").alias("alone"))]
+    for i, (h, c) in enumerate(hypotheses):
+        if (h, c) in tested:
+            alone = scored([c]).select(F.lit(i).alias("i"), F.col("auc").alias("alone"))
+            runs.append(scored([*base, c]).withColumn("i", F.lit(i)).join(alone, "i").select("i", "auc", "sd", "alone"))
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    plain = out.filter("i = -1").select(F.col("auc").alias("base"), F.col("sd").alias("base_sd"))
+    noise = F.greatest((F.col("base_sd") + F.col("sd")) / 2, F.lit(FLOOR))
+    threshold, lift = F.greatest(F.lit(LEAST_CHANGE), NOISES * noise), F.col("auc") - F.col("base")
+    out = out.filter("i >= 0").join(plain).select("i", "alone", "base", F.col("auc").alias("with_it"), F.round(lift, 6).alias("lift"), F.round(threshold, 6).alias("threshold"), (lift >= threshold).alias("fires"))
+    why = F.when(F.col("column_name").isNull(), "no column holds it").when(F.col("with_it").isNull(), "no such column")
+    out = every.join(out, "i", "left").select("hypothesis", "column_name", F.col("with_it").isNotNull().alias("tested"), why.alias("why_not"), "alone", "base", "with_it", "lift", "threshold", "fires")
+    return out.orderBy(F.desc("tested"), F.desc_nulls_last("lift"), "hypothesis")
+
+
 def group_gates(frame: DataFrame, target: str, reference: str, least: int = LEAST_ROWS) -> DataFrame:
     """(code, n_rows, measured): groups other than the reference that, with it, have enough rows."""
     counts = frame.filter(F.col(target).isNotNull()).groupBy(F.col(target).alias("code")).agg(F.count(F.lit(1)).alias("n"))

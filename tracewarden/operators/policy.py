@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import cache
 from pathlib import Path
 
@@ -14,6 +15,7 @@ from ..sources.tables import dimension
 FOLDER = Path(__file__).resolve().parent.parent / "policy"
 #: Bases in order of severity; a finding that rests on another sorts last.
 BASES = ("prohibited", "conditional", "examine")
+DEFAULT = "ecoa"
 
 
 @cache
@@ -26,9 +28,16 @@ def packs() -> dict[str, dict]:
     return yaml.safe_load((FOLDER / "packs.yml").read_text())
 
 
-def pack(regime: str) -> dict:
+def available() -> list[str]:
+    """The regimes that have a pack, by name."""
+    return sorted(packs())
+
+
+def pack(regime: str | None = None) -> dict:
+    """The named pack; without a name, the one in TRACEWARDEN_REGIME or else DEFAULT. An unknown name raises KeyError."""
+    regime = regime or os.environ.get("TRACEWARDEN_REGIME", DEFAULT)
     if regime not in packs():
-        raise KeyError(f"no pack {regime!r}; there are {', '.join(sorted(packs()))}")
+        raise KeyError(f"no pack {regime!r}; there are {', '.join(available())}")
     return packs()[regime]
 
 
@@ -37,6 +46,11 @@ def attributes(spark: SparkSession) -> DataFrame:
     return dimension(spark, rows, "attribute string, column string, kind string, reference string, n_codes int")
 
 
+def encodings(spark: SparkSession) -> DataFrame:
+    """What the declaration says of an attribute's coding, and what else it stands for."""
+    return dimension(spark, [(a, d.get("encoding"), d.get("proxy_for")) for a, d in declared().items()], "attribute string, encoding string, proxy_for string")
+
+
 def codes(spark: SparkSession) -> DataFrame:
     rows = [(a, str(c), label) for a, d in declared().items() for c, label in (d.get("categories") or {}).items()]
     return dimension(spark, rows, "attribute string, code string, label string")
@@ -64,6 +78,11 @@ def untestable(spark: SparkSession) -> DataFrame:
     return resolved(spark).withColumn("why", why).filter("why IS NOT NULL").select("regime", "attribute", "why")
 
 
+def by_column(spark: SparkSession) -> DataFrame:
+    """(regime, column, attribute, basis, citation) for every regime; a column that a regime does not restrict has no row."""
+    return resolved(spark).select("regime", "column", "attribute", "basis", "citation")
+
+
 def basis_rank(basis):
     """0 for the gravest basis, 9 for none of them."""
     out = F.when(basis == BASES[0], 0)

@@ -81,12 +81,12 @@ def build(spark: SparkSession, sf_dir: str) -> None:
         builder(spark).createOrReplaceTempView(name)
 
 
-def materialize(spark: SparkSession, layer: str = "mart") -> list[str]:
-    """Saves the models of a layer as tables `saved_<name>`; returns their names."""
-    names = [n for n, (at, _) in MODELS.items() if at == layer]
-    for n in names:
-        spark.table(n).write.mode("overwrite").saveAsTable(f"saved_{n}")
-    return [f"saved_{n}" for n in names]
+def materialize(spark: SparkSession, folder: str, layer: str = "mart") -> dict[str, str]:
+    """Saves the models of a layer as Parquet under `folder`; returns their places by name."""
+    places = {n: f"{folder}/{n}" for n, (at, _) in MODELS.items() if at == layer}
+    for n, at in places.items():
+        spark.table(n).write.mode("overwrite").parquet(at)
+    return places
 
 
 def feature_columns(df: DataFrame, key: str, label: str, vintage: str | None = None) -> list[str]:

@@ -54,17 +54,18 @@ tup AS (SELECT seed, node, min(hops)::INT AS hops FROM tw WHERE seed <> node GRO
 """
 FINDINGS = f"""
 {GRAPH},
-tags(table_name, column_name, tag) AS {values(estate.TAGS)},
+tags(table_name, column_name, tag) AS {values(sorted(set(estate.TAGS + estate.EDITED_TAGS)))},
 scope(regime, tag) AS {values(_SCOPE)},
 att(attribute, col, kind, reference, n_codes) AS {values(_ATTRIBUTES)},
 res(regime, attribute, basis, citation) AS {values(_RESTRICTED)},
 held AS (SELECT regime, col, attribute, basis, citation FROM res JOIN att USING (attribute)),
 tagged AS (SELECT regime, table_name AS up_table, column_name AS up_column, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM tags JOIN scope USING (tag) GROUP BY ALL),
 near AS (SELECT *, row_number() OVER (PARTITION BY regime, table_name, column_name ORDER BY hops, up_table, up_column) AS n FROM anc JOIN tagged USING (up_table, up_column)),
-pr AS (SELECT near.regime, table_name, column_name AS feature, up_table AS origin_table, up_column AS origin_column, hops, tags, attribute, coalesce(basis, 'examine') AS basis, citation
+pr AS (SELECT near.regime, table_name, column_name AS feature, up_table AS origin_table, up_column AS origin_column, hops, tags, attribute, coalesce(basis, 'examine') AS basis, citation,
+         CASE WHEN attribute IS NULL THEN 'carries ' || tags || ', which ' || near.regime || ' watches' END AS why
        FROM near LEFT JOIN held ON near.regime = held.regime AND near.up_column = held.col WHERE n = 1),
 vio AS (SELECT model, version, stage, pr.* FROM models JOIN pr ON feature_table = table_name WHERE stage IN ('Production', 'Staging')),
-plan AS (SELECT DISTINCT coalesce(attribute, 'tagged column') || ' reaches ' || model || ' through ' || feature || ' under ' || regime AS title, table_name AS resource,
+plan AS (SELECT DISTINCT 'tag' AS kind, 'ACTIVE' AS status, coalesce(attribute, 'tagged column') || ' reaches ' || model || ' through ' || feature || ' under ' || regime AS title, table_name AS resource,
          CASE basis WHEN 'prohibited' THEN 'CRITICAL' WHEN 'conditional' THEN 'HIGH' WHEN 'examine' THEN 'LOW' ELSE 'MEDIUM' END AS priority, regime, model FROM vio)
 """
 DATASETS = "(SELECT unnest(['raw_orders','raw_customer','raw_nation','raw_region','raw_part','raw_lineitem','stg_order','stg_customer','stg_nation','stg_region','dim_order','value_features','size_features']) AS name)"
@@ -86,12 +87,15 @@ codes(attribute, value) AS {values(_CODES)},
 hit AS (SELECT column_name, attribute, count(*) AS present, sum(n) AS inside, any_value(total) AS total FROM prof JOIN codes USING (value) GROUP BY ALL),
 val AS (SELECT column_name, attribute, round(present / k, 4) AS covered, round(1 - inside / total, 4) AS stray FROM hit JOIN (SELECT attribute, count(*) AS k FROM codes GROUP BY 1) USING (attribute)
         WHERE round(1 - inside / total, 4) <= 0.02 AND round(present / k, 4) >= 0.5),
-cols AS (SELECT unnest(['segment', 'status_code', 'nation_name', 'priority_code', 'order_ref', 'account_balance', 'mystery']) AS column_name),
+cols AS (SELECT unnest(['segment', 'status_code', 'nation_name', 'priority_code', 'order_ref', 'account_balance', 'mystery', 'applicant_sex', 'RAC1P', 'place_of_birth_code', 'marketplace']) AS column_name),
 att(attribute, col, kind, reference, n_codes) AS {values(_ATTRIBUTES)},
 norm AS (SELECT column_name, regexp_replace(trim(regexp_replace(lower(column_name), '[^a-z0-9]+', ' ', 'g')), '( (code|cd|flag|id|key|num|usd|amt|ind))+$', '') AS p FROM cols),
-ali AS (SELECT DISTINCT attribute, unnest([replace(attribute, '_', ' '), regexp_replace(trim(regexp_replace(lower(col), '[^a-z0-9]+', ' ', 'g')), '( (code|cd|flag|id|key|num|usd|amt|ind))+$', '')]) AS a FROM att),
-nam AS (SELECT column_name, attribute, min(CASE WHEN p = a THEN 'exact' ELSE 'loose' END) AS strength FROM norm, ali
-        WHERE p = a OR len(list_intersect(list_filter(string_split(p, ' '), lambda w: length(w) > 3), list_filter(string_split(a, ' '), lambda w: length(w) > 3))) > 0 GROUP BY ALL)
+enc(attribute, encoding) AS {values([(a, d.get("encoding")) for a, d in policy.declared().items()])},
+al0 AS (SELECT attribute, unnest(list_concat([attribute, replace(attribute, '_', ' ')], list_transform(regexp_extract_all(encoding, '\\b[A-Z][A-Z0-9]{{1,9}}\\b'), lambda x: lower(x)),
+          list_filter(string_split(trim(regexp_replace(lower(encoding), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 3))) AS a FROM enc),
+ali AS (SELECT DISTINCT attribute, a FROM al0 WHERE a NOT IN ('pums', '')),
+nam AS (SELECT column_name, attribute, CASE WHEN bool_or(list_contains(string_split(p, ' '), a) OR replace(a, '_', ' ') = p) THEN 'exact' ELSE 'loose' END AS strength
+        FROM norm, ali WHERE list_contains(string_split(p, ' '), a) OR replace(a, '_', ' ') = p OR (length(a) > 3 AND contains(p, a)) GROUP BY ALL)
 """
 FRAME = f"""
 {DIM},
@@ -108,16 +112,60 @@ sc AS (SELECT lg.*, coalesce(w, 0) AS w FROM lg LEFT JOIN od USING (grp, seed, f
 
 def auc(source: str, by: str) -> str:
     """AUC of source (by, y, s) with average ranks."""
-    return f"""(SELECT {by}, round(sum(u) / (sum(p) * sum(n)), 9) AS auc, sum(p + n)::BIGINT AS n_rows, round(sum(p) / sum(p + n), 9) AS positive_rate FROM (
+    return f"""(SELECT {by}, round(sum(u) / (sum(p) * sum(n)), 9) AS auc, round(sum(CASE WHEN s > 0 THEN p ELSE n END) / sum(p + n), 9) AS accuracy, sum(p + n)::BIGINT AS n_test, round(sum(p) / sum(p + n), 9) AS positive_rate FROM (
       SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS u
       FROM (SELECT {by}, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM {source} GROUP BY {by}, s)) GROUP BY {by})"""
 
 
+SEEDED = """min_by(n_test, seed) AS n_test, round(min_by(accuracy, seed), 6) AS accuracy, round(min_by(positive_rate, seed), 6) AS positive_rate,
+      round(greatest(min_by(positive_rate, seed), 1 - min_by(positive_rate, seed)), 6) AS baseline_accuracy"""
+SCREEN = f"""
+{DIM},
+px AS (SELECT order_id AS k, (segment = 'BUILDING')::INT AS y, status_code, priority_code, nation_name AS origin_name, CASE WHEN md5('p:' || order_id)[1] < 'c' THEN segment ELSE 'x' END AS proxy FROM dim WHERE segment IS NOT NULL),
+lg AS (SELECT seed, k, y, md5(seed || ':' || k)[1] IN ('0', '1', '2', '3') AS test, unnest(['status_code', 'priority_code', 'origin_name', 'proxy']) AS feature,
+       unnest([status_code, priority_code, origin_name, proxy]) AS v FROM px, (SELECT unnest([17, 18, 19]) AS seed)),
+od AS (SELECT seed, feature, v, round(1e6 * ln((sum(y) + 1.0::DOUBLE) / (count(*) - sum(y) + 1.0::DOUBLE)))::BIGINT AS w FROM lg WHERE NOT test GROUP BY ALL),
+sc AS (SELECT lg.*, coalesce(w, 0) AS w FROM lg LEFT JOIN od USING (seed, feature, v) WHERE test)
+"""
+
+
 def _screen(features: str, name: str) -> str:
-    total = f"(SELECT seed, k, y, sum(w) AS s FROM sc WHERE grp = 'AUTOMOBILE' AND feature IN ({features}) GROUP BY ALL)"
+    total = f"(SELECT seed, k, y, sum(w) AS s FROM sc WHERE feature IN ({features}) GROUP BY ALL)"
     return f"SELECT '{name}' AS h, round(avg(auc), 6) AS a, round(stddev_samp(auc), 6) AS d FROM {auc(total, 'seed')}"
 
 
+def screened() -> str:
+    base = "'status_code', 'priority_code'"
+    return f"""{SCREEN}, b AS ({_screen(base, '')}), t AS ({_screen(base + ", 'proxy'", 'planted')} UNION ALL {_screen(base + ", 'origin_name'", 'origin')}),
+      o AS ({_screen("'proxy'", 'planted')} UNION ALL {_screen("'origin_name'", 'origin')}),
+      l AS (SELECT t.h, o.a AS alone, b.a AS base, t.a AS with_it, t.a - b.a AS lift, greatest(0.02, 4 * greatest((b.d + t.d) / 2, 0.001)) AS threshold FROM t JOIN o USING (h), b),
+      done AS (SELECT hypothesis, column_name, lift IS NOT NULL AS tested, CASE WHEN column_name IS NULL THEN 'no column holds it' WHEN lift IS NULL THEN 'no such column' END AS why_not,
+        alone, base, with_it, round(lift, 6) AS lift, round(threshold, 6) AS threshold, lift >= threshold AS fires FROM {values(estate.HYPOTHESES)} y(hypothesis, column_name) LEFT JOIN l ON h = hypothesis)"""
+
+
+#: The features of both versions; the serving model is measured with each, on the rows of its training table.
+_VERSIONS = [(seq, f) for seq, v in ((1, "1"), (2, "2")) for m in estate.MODELS if m[:2] == ("value-classifier", v) for f in m[4].split(",")]
+EXPOSED = f"""
+{DIM},
+vf AS (SELECT order_id AS k, segment, status_code, nation_name, priority_code, account_balance_usd FROM dim WHERE account_balance_usd >= 0),
+ty AS (SELECT 'segment' AS column_name, 'BUILDING' AS against, g AS grp, k, (segment = g)::INT AS y FROM vf, (SELECT unnest(['AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS g) WHERE segment IN ('BUILDING', g)
+       UNION ALL SELECT 'status_code', 'O', g, k, (status_code = g)::INT FROM vf, (SELECT unnest(['F', 'P']) AS g) WHERE status_code IN ('O', g)),
+fv AS (SELECT k, unnest(['market_code', 'origin_name', 'status_code', 'priority_code', 'account_balance_usd']) AS feature, unnest([segment, nation_name, status_code, priority_code, floor(account_balance_usd / 1000)::BIGINT::VARCHAR]) AS v FROM vf),
+ver(seq, feature) AS {values(_VERSIONS)},
+lg AS (SELECT seq, column_name, against, grp, seed, k, y, md5(seed || ':' || k)[1] IN ('0', '1', '2', '3') AS test, feature, v
+       FROM ty JOIN fv USING (k) JOIN ver USING (feature), (SELECT unnest([17, 18, 19]) AS seed) WHERE feature <> column_name),
+od AS (SELECT seq, column_name, grp, seed, feature, v, round(1e6 * ln((sum(y) + 1.0::DOUBLE) / (count(*) - sum(y) + 1.0::DOUBLE)))::BIGINT AS w FROM lg WHERE NOT test GROUP BY ALL),
+ss AS (SELECT seq, column_name, grp, seed, k, y, sum(coalesce(w, 0)) AS s FROM lg LEFT JOIN od USING (seq, column_name, grp, seed, feature, v) WHERE test GROUP BY ALL),
+hist AS (SELECT 'value-classifier' AS model, seq::INT AS seq, seq::VARCHAR AS version, 'value_features' AS feature_table, CASE seq WHEN 1 THEN '{estate.MODELS[0][4]}' ELSE '{estate.MODELS[1][4]}' END AS features,
+         column_name, grp, against, round(avg(auc), 6) AS auc, round(coalesce(stddev_samp(auc), 0), 6) AS auc_stdev, any_value(n) AS n_rows
+         FROM {auc('ss', 'seq, column_name, grp, seed')} JOIN (SELECT column_name, against, grp, count(*) AS n FROM ty GROUP BY ALL) USING (column_name, grp) WHERE n >= 2000 GROUP BY seq, column_name, grp, against),
+was AS (SELECT model, column_name, grp, auc::DOUBLE AS a, auc_stdev::DOUBLE AS s FROM hist WHERE seq = 1), now AS (SELECT model, column_name, grp, auc::DOUBLE AS b, auc_stdev::DOUBLE AS z FROM hist WHERE seq = 2),
+cmp AS (SELECT model, column_name, grp, b - a AS d, greatest((s + z) / 2, 0.001::DOUBLE) AS noise, greatest(0.02::DOUBLE, 4 * greatest((s + z) / 2, 0.001::DOUBLE)) AS th FROM was FULL JOIN now USING (model, column_name, grp)),
+moved AS (SELECT model, column_name, grp, round(d, 6) AS delta, CASE WHEN d IS NULL THEN NULL ELSE round(th, 6) END AS threshold, round(abs(d) / noise, 2) AS multiples_of_noise,
+         CASE WHEN d IS NULL THEN 'not_comparable' WHEN abs(d) >= th THEN 'fires' ELSE 'silent' END AS status FROM cmp)
+"""
+
+
 _ALL = "(SELECT grp, seed, k, y, sum(w) AS s FROM sc GROUP BY ALL)"
 _COMPARE = f"""
 rec(model, seq, version, features) AS {values([r[:4] for r in estate.RECORDINGS])},
@@ -150,7 +198,34 @@ ORACLES = {
     "entity_walk_up": f"WITH RECURSIVE {GRAPH} SELECT * FROM tup",
     "entity_walk_down": f"WITH RECURSIVE {GRAPH} SELECT node AS seed, seed AS node, hops FROM tup",
     "walk_agreement": f"WITH RECURSIVE {GRAPH} SELECT count(*) AS loop_rows, count(*) AS recursive_rows, 0::BIGINT AS differences FROM tup",
-    "catalog_search": f"WITH {ENTITIES} SELECT type, name FROM ent WHERE contains(name, 'order')",
+    "catalog_search": f"WITH {ENTITIES} SELECT type, name FROM ent WHERE (type = 'dataset' AND contains(name, 'order')) OR type = 'mlModel'",
+    "name_resolution": "SELECT * FROM (VALUES ('dim_order', 'exact', 'dim_order', NULL), ('size', 'unique', 'size_features', NULL), ('stg_', 'ambiguous', NULL, 'stg_customer,stg_nation,stg_order,stg_region'), ('nowhere', 'none', NULL, NULL), ('urn:li:dataset:(urn:li:dataPlatform:spark,stg_order,PROD)', 'urn', 'stg_order', NULL)) t(target, outcome, name, candidates)",
+    "entities_by_name": f"WITH {ENTITIES} SELECT name, 'urn:li:' || type || ':(urn:li:dataPlatform:' || platform || ',' || name || ',PROD)' AS urns FROM ent",
+    "neighbours": f"WITH RECURSIVE {GRAPH} SELECT src AS name, 'down' AS direction, dst AS neighbour FROM te UNION ALL SELECT dst, 'up', src FROM te",
+    "column_parents": f"WITH RECURSIVE {GRAPH} SELECT down_column, up_table, up_column FROM ce WHERE down_table = 'dim_order'",
+    "training_datasets": f"WITH RECURSIVE {GRAPH} SELECT model, version, stage, feature_table AS table_name, 1 AS hops FROM models WHERE feature_table IS NOT NULL",
+    "lineage_walk": f"""WITH RECURSIVE {FINDINGS}, w AS (SELECT 'stg_customer' AS seed, seed AS node, hops FROM tup WHERE node = 'stg_customer' AND hops <= 3 UNION ALL SELECT 'stg_customer', 'stg_customer', 0)
+      SELECT seed, node, hops, coalesce((SELECT string_agg(DISTINCT 'tag:ACTIVE ' || title, '; ' ORDER BY 'tag:ACTIVE ' || title) FROM plan WHERE regime = 'order_desk' AND resource = node), '') AS open FROM w""",
+    "column_list": "SELECT position, column_name FROM (SELECT unnest(range(1, 12))::INT AS position, unnest(['order_id', 'order_ref', 'customer_id', 'status_code', 'priority_code', 'total_usd', 'ordered_at', 'segment', 'account_balance_usd', 'nation_name', 'region_name']) AS column_name)",
+    "dataset_source": "SELECT unnest(['warehouse://store:5433/orders/value_features', 'warehouse://store:5433/orders/size_features']) AS uri",
+    "foreign_entities": "SELECT 'legacy_feed' AS name",
+    "materialized_marts": f"WITH {DIM} SELECT 'dim_order' AS name, count(*) AS n FROM dim UNION ALL SELECT 'value_features', count(*) FROM dim WHERE account_balance_usd >= 0 UNION ALL SELECT 'size_features', count(*) FROM part WHERE p_size BETWEEN 16 AND 40",
+    "violation_report": f"WITH RECURSIVE {FINDINGS} SELECT regime, model, feature, basis, attribute, CASE basis WHEN 'prohibited' THEN 0 WHEN 'conditional' THEN 1 WHEN 'examine' THEN 2 ELSE 9 END AS severity, count(*) OVER (PARTITION BY regime, model, basis) AS n_on_basis FROM vio",
+    "policy_by_column": f"WITH RECURSIVE {FINDINGS} SELECT regime, col AS \"column\", attribute, basis, citation FROM held",
+    "attribute_aliases": f"WITH {IDENT} SELECT attribute, a AS alias FROM ali",
+    "recorded_models": "SELECT unnest(['value-classifier', 'size-classifier']) AS model",
+    "record_exposure": f"WITH {EXPOSED} SELECT * FROM hist",
+    "exposure_compare": f"WITH {EXPOSED} SELECT * FROM moved",
+    "root_cause": f"""WITH RECURSIVE {FINDINGS}, {EXPOSED}, far AS (SELECT *, rank() OVER (PARTITION BY table_name, column_name ORDER BY hops DESC) AS r FROM anc WHERE hops > 0),
+      org AS (SELECT table_name, column_name, max(hops) AS hops, string_agg(up_table || '.' || up_column, ',' ORDER BY up_table || '.' || up_column) AS sources, bool_or(up_column <> column_name) AS renamed FROM far WHERE r = 1 GROUP BY ALL),
+      got AS (SELECT 'value-classifier' AS model, unnest(['market_code', 'priority_code', 'account_balance_usd']) AS column_name WHERE (SELECT count(*) FROM hist) > 0)
+      SELECT model, got.column_name, org.hops, sources, renamed, regime, attribute, basis, (SELECT count(*) FROM moved WHERE status = 'fires') AS n_shifts, 'candidates' AS conclusion
+      FROM got LEFT JOIN org ON org.table_name = 'value_features' AND org.column_name = got.column_name LEFT JOIN pr ON pr.table_name = 'value_features' AND pr.feature = got.column_name""",
+    "incident_union": f"""WITH RECURSIVE {FINDINGS}, {_COMPARE} SELECT * FROM plan WHERE model = 'value-classifier'
+      UNION ALL SELECT 'delta', 'ACTIVE', column_name || ' (' || grp || ') became easier to rebuild from ' || model || ' under order_desk', 'value_features', 'HIGH', 'order_desk', model FROM done WHERE status = 'fires' AND model = 'value-classifier'""",
+    "incident_filing": f"WITH RECURSIVE {FINDINGS} SELECT title, resource, priority, CASE WHEN regime = 'order_desk' THEN 'already open' ELSE 'would file' END AS outcome FROM plan",
+    "incidents_open": f"""WITH RECURSIVE {FINDINGS}, {_COMPARE} SELECT kind, title, resource, priority FROM plan WHERE regime = 'order_desk'
+      UNION ALL SELECT 'delta', column_name || ' (' || grp || ') became easier to rebuild from ' || model || ' under order_desk', CASE WHEN model = 'value-classifier' THEN 'value_features' ELSE 'size_features' END, 'HIGH' FROM done WHERE status = 'fires'""",
     "type_counts": f"WITH {ENTITIES} SELECT type, count(*) AS n FROM ent GROUP BY 1",
     "urn_parse": f"WITH {ENTITIES} SELECT name, platform FROM ent",
     "entity_type_from_urn": f"WITH {ENTITIES} SELECT name, CASE type WHEN 'dataset' THEN 'DATASET' ELSE 'ML_MODEL' END AS entity_type FROM ent",
@@ -187,14 +262,12 @@ ORACLES = {
         WHEN len(va) > 1 AND len(list_intersect(va, list_concat(ex, lo))) = 1 THEN list_intersect(va, list_concat(ex, lo))[1] END AS attribute FROM e),
       c AS (SELECT *, CASE WHEN attribute IS NOT NULL THEN 'identified' WHEN len(va) > 1 OR len(lo) > 0 THEN 'ambiguous' ELSE 'unknown' END AS call FROM a)
       SELECT column_name, call, attribute, CASE WHEN call = 'ambiguous' THEN array_to_string(CASE WHEN len(va) > 1 THEN va ELSE lo END, ',') END AS candidates FROM c""",
-    "group_subset_gates": f"WITH {DIM}, c AS (SELECT segment AS code, count(*) AS n FROM dim WHERE segment IS NOT NULL GROUP BY 1) SELECT code, n + (SELECT n FROM c WHERE code = 'BUILDING') AS n_rows, n + (SELECT n FROM c WHERE code = 'BUILDING') >= 600 AS measured FROM c WHERE code <> 'BUILDING'",
-    "reconstruct_bayes": f"""WITH {FRAME} SELECT grp, round(avg(auc), 6) AS auc, round(coalesce(stddev_samp(auc), 0), 6) AS auc_stdev, min_by(n_rows, seed) AS n_rows, round(min_by(positive_rate, seed), 6) AS positive_rate,
-      round(greatest(min_by(positive_rate, seed), 1 - min_by(positive_rate, seed)), 6) AS baseline_accuracy FROM {auc(_ALL, 'grp, seed')} GROUP BY 1""",
+    "group_subset_gates": f"WITH {DIM}, c AS (SELECT segment AS code, count(*) AS n FROM dim WHERE segment IS NOT NULL GROUP BY 1) SELECT code, n + (SELECT n FROM c WHERE code = 'BUILDING') AS n_rows, n + (SELECT n FROM c WHERE code = 'BUILDING') >= 2000 AS measured FROM c WHERE code <> 'BUILDING'",
+    "reconstruct_bayes": f"WITH {FRAME} SELECT grp, round(avg(auc), 6) AS auc, round(coalesce(stddev_samp(auc), 0), 6) AS auc_stdev, {SEEDED}, any_value(n_rows) AS n_rows FROM {auc(_ALL, 'grp, seed')} JOIN (SELECT grp, count(*) AS n_rows FROM fr GROUP BY 1) USING (grp) GROUP BY 1",
     "single_feature_auc": f"WITH {FRAME} SELECT * FROM {auc('(SELECT grp, feature, y, w AS s FROM sc WHERE seed = 17)', 'grp, feature')}",
     "worst_group": f"WITH {FRAME} SELECT grp, auc FROM {auc('(SELECT * FROM ' + _ALL + ' WHERE seed = 17)', 'grp')} ORDER BY auc DESC, grp DESC LIMIT 1",
-    "proxy_screen": f"""WITH {FRAME}, b AS ({_screen("'status_code', 'priority_code'", '')}), t AS ({_screen("'status_code', 'priority_code', 'proxy'", 'planted')} UNION ALL {_screen("'status_code', 'priority_code', 'origin_name'", 'origin')}),
-      l AS (SELECT t.h, t.a - b.a AS lift, t.a - b.a >= greatest(0.02, 4 * greatest((b.d + t.d) / 2, 0.001)) AS fires FROM t, b)
-      SELECT hypothesis, column_name, lift IS NOT NULL AS tested, round(lift, 6) AS lift, fires FROM {values(estate.HYPOTHESES)} y(hypothesis, column_name) LEFT JOIN l ON h = hypothesis""",
+    "proxy_screen": f"WITH {screened()} SELECT * FROM done",
+    "screen_sink": f"WITH {screened()} SELECT hypothesis, tested, why_not, fires FROM done",
     "last_two_recordings": f"WITH {_COMPARE} SELECT model, seq, version, back::INT AS back FROM last",
     "recording_compare": f"WITH {_COMPARE} SELECT * FROM done",
     "silent_measurements": f"WITH {_COMPARE} SELECT model, column_name, grp, status FROM done WHERE status <> 'fires'",

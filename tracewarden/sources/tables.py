@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,19 +78,38 @@ def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to a fresh place in the session's shared folder (spark.checkpoint.dir; a local one where unset) and read again.
+def without_credentials(url: Column) -> Column:
+    """A connection's address from behind its user and password on."""
+    return F.regexp_replace(url, "^.*@", "")
 
-    Cuts the lineage of loops with one job, and survives lost executors.
-    """
-    spark = df.sparkSession
+
+def write_json(df: DataFrame, path: str, write: bool = True) -> None:
+    """A report's rows as JSON lines, null fields too, unless the caller opts out."""
+    if write:
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """An unused path in the session's shared folder, deleted when the session's file system closes."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/walk-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to a fresh place in the session's shared folder (spark.checkpoint.dir; a local one where that is unset in
+    a local session, an error on a cluster) and read again.
+
+    Cuts the lineage of loops with one job, and survives lost executors.
+    """
+    path = fresh_folder(df.sparkSession, "walk")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
