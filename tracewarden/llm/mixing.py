@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, python_batches, quoted, table, unused, written
+from .common import WORD, python_batches, quoted, table, written
 
 #: Weights of the sources by code point, repeating; nulls come last.
 WEIGHTS = (3, 1, 2)
@@ -160,18 +160,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         extra = extra.unionByName(part)
 
     extra = extra.select(F.col("source").alias("e_source"), "key", F.lit(1).alias("extra"))
-    mine, of, key = unused(sized, "row", "source", "key")
-    rows = sized.select(F.struct(*quoted(sized.columns)).alias(mine), F.col(source_col).alias(of), F.col(id_col).cast("string").alias(key)).alias("s")
-    rows = rows.join(plan.select(F.col("source").alias("p_source"), "source_size", "target").alias("p"), F.expr(f"s.`{of}` <=> p.p_source"), "left").withColumn("ratio", ratio)
+    # Places for names while it is joined: each column is one of its own, so that a text nobody wants is not moved.
+    every = [*names, "size"]
+    rows = sized.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted(every))], F.col(source_col).alias("of"), F.col(id_col).cast("string").alias("id")).alias("s")
+    rows = rows.join(plan.select(F.col("source").alias("p_source"), "source_size", "target").alias("p"), F.expr("s.of <=> p.p_source"), "left").withColumn("ratio", ratio)
     # Texts move only where a source's documents differ.
     whole, mixed = F.col("ratio") == F.floor("ratio"), rows.filter("ratio <> floor(ratio)")
-    mixed = mixed.join(extra.alias("e"), F.expr(f"s.`{of}` <=> e.e_source AND s.`{key}` <=> e.key"), "left")
-    fields = [F.col(mine), "source_size", "target", "ratio", F.coalesce("extra", F.lit(0)).alias("extra")]
+    mixed = mixed.join(extra.alias("e"), F.expr("s.of <=> e.e_source AND s.id <=> e.key"), "left")
+    fields = [*(f"c{i}" for i in range(len(every))), "source_size", "target", "ratio", F.coalesce("extra", F.lit(0)).alias("extra")]
     out = rows.filter(whole).withColumn("extra", F.lit(0)).select(fields).unionByName(mixed.select(fields))
-    size = F.col(f"{mine}.size")
+    size = F.col(f"c{len(names)}")
     copies = F.when(size == 0, F.lit(1)).otherwise(F.floor("ratio") + F.col("extra")).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * size)
-    return out.select(*[F.col(mine)[c].alias(c) for c in [*names, "size"]], "source_size", "target", "copies", "taken")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(every)], "source_size", "target", "copies", "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
