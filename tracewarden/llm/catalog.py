@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, toxicity, warc
+from . import bpe, chat, exact_dedup, fill_in_middle, lexical_search, mixing, near_dedup, quality_classifier, quality_rules, simhash, token_counts, toxicity, warc
 
 _QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_bpe": bpe.query,
     "op9_near_dedup": near_dedup.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op12_lexical_search": lexical_search.query,
+    "op13_simhash": simhash.query,
 }
 #: The others hold models, random choices, tokenizers or iterations, which SQL cannot express.
 _ORACLES = {
@@ -23,6 +26,8 @@ _ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
 
 
