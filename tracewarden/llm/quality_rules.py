@@ -6,6 +6,8 @@ if its base counts fail or if cleaning removes more than half of its characters.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,24 +17,30 @@ from .common import SPACE, quoted, table
 #: Punctuation: three runs of symbols, five double exclamation marks, eight words in capitals, eight words without any stop.
 SYMBOL_RUNS = r"([#*$%&]{3}[^#*$%&]*){3}"
 EXCLAIMS = r"(!![^!]*){5}"
-CAPITALS = r"(\p{Lu}{2,}[ ,.!?-]+){7}\p{Lu}{2}"
+CAPITALS = r"(^|[^\p{Lu}])(\p{Lu}{2,}[ ,.!?-]+){7}\p{Lu}{2}"  # tried where a run of capitals begins, so a very long run takes linear time
 EIGHT_WORDS = r"^ *([^ ]+ +){7}[^ ]"  # anchored: one attempt a line, so a very long word takes linear time
 STOP = r"[.!?;:,。！？、…]"
 #: Navigation: three separators between labels.
 NAVIGATION = r"([|>»·][^|>»·]*){3}"
-#: Boilerplate phrases, matched in lower case: English, German, French, Spanish.
-BOILERPLATE = (
-    r"all rights reserved|licensed under|privacy policy|terms of (use|service)|cookie (policy|settings)|click here|enable javascript|subscribe to our newsletter"
-    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookie-einstellungen|hier klicken|newsletter abonnieren"
-    r"|tous droits réservés|politique de confidentialité|conditions d.utilisation|paramètres des cookies|cliquez ici|abonnez-vous"
-    r"|todos los derechos reservados|política de privacidad|condiciones de uso|configuración de cookies|haga clic aquí|suscríbase"
-)
+#: Boilerplate phrases, looked for in lower case: English, German, French, Spanish.
+BOILERPLATE = [
+    "all rights reserved", "licensed under", "privacy policy", "terms of use", "terms of service", "cookie policy", "cookie settings", "click here", "enable javascript", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-einstellungen", "hier klicken", "newsletter abonnieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "conditions d’utilisation", "paramètres des cookies", "cliquez ici", "abonnez-vous",
+    "todos los derechos reservados", "política de privacidad", "condiciones de uso", "configuración de cookies", "haga clic aquí", "suscríbase",
+]
 
 LEAST_WORDS = 50
 #: Per cent: of words in repeated windows at most; of characters that cleaning leaves at least.
 MOST_REPEATED, LEAST_LEFT = 50, 50
 
 
+def holds_boilerplate(line: Column) -> Column:
+    """One plain search a phrase: a pattern of as many branches tries them all at every character."""
+    small = F.lower(line)
+    return reduce(Column.__or__, [small.contains(p) for p in BOILERPLATE])
+
+
 def line_fails(line: Column) -> Column:
     return (
         line.rlike(SYMBOL_RUNS)
@@ -40,7 +48,7 @@ def line_fails(line: Column) -> Column:
         | line.rlike(CAPITALS)
         | (line.rlike(EIGHT_WORDS) & ~line.rlike(STOP))
         | line.rlike(NAVIGATION)
-        | F.lower(line).rlike(BOILERPLATE)
+        | holds_boilerplate(line)
     )
 
 
@@ -50,6 +58,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null texts count as empty and fail by their number of words. Rows are judged alone: repeated rows get equal
     results, an empty table gives none, columns of docs with the names above are replaced, and all others pass through.
+    Texts, lines and words of any length are read whole, in time that grows with their length alone.
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "left_chars", "cleaned_text", "base_failed", "kept"]
     passed = [c for c in docs.columns if c.lower() not in names]
@@ -100,6 +109,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(COLUMNS)
 
 
+SQL_PHRASES = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in BOILERPLATE) + "]"
+
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+') AS ws,
@@ -114,7 +125,7 @@ good AS (
   SELECT doc_id, list_filter(ls, lambda x: NOT (
       regexp_matches(x, '{SYMBOL_RUNS}') OR regexp_matches(x, '{EXCLAIMS}') OR regexp_matches(x, '{CAPITALS}')
       OR (regexp_matches(x, '{EIGHT_WORDS}') AND NOT regexp_matches(x, '{STOP}'))
-      OR regexp_matches(x, '{NAVIGATION}') OR regexp_matches(lower(x), '{BOILERPLATE}'))) AS gl
+      OR regexp_matches(x, '{NAVIGATION}') OR list_bool_or([contains(lower(x), p) FOR p IN {SQL_PHRASES}]))) AS gl
   FROM d),
 b AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[{SPACE}]+', '', 'g'))::BIGINT AS word_chars,
