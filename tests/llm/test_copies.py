@@ -64,6 +64,7 @@ def expected(rows, n):
 def test_near_against_brute_force(spark, make, monkeypatch):
     """Chains of edits (neighbours link, ends do not), a shared passage, copies, and buckets of several blocks, wide ones too."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "STRIP", 3)
     monkeypatch.setattr(near_dedup, "WIDE", 12)
     monkeypatch.setattr(common, "HOT", 6)
     rng = random.Random(5)
@@ -87,17 +88,19 @@ def test_near_against_brute_force(spark, make, monkeypatch):
 
 
 def test_near_buckets_of_many_unlike_members(make, monkeypatch):
-    """Thousands share a passage but are unlike; a template's copies link to it alone; a few real pairs hide among them."""
-    monkeypatch.setattr(near_dedup, "WIDE", 200)
-    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    """Thousands share a passage but are unlike (0.63 alike), so that buckets hold thousands; hundreds of pairs of them are
+    just alike enough, and a template's copies link to it alone. Every link is found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 512)
     asked = []
     whole = near_dedup._Search.tiles
     monkeypatch.setattr(near_dedup._Search, "tiles", lambda self, rows: asked.append(rows.agg(F.max("n")).first()[0]) or whole(self, rows))
     rng = random.Random(11)
     own = lambda k, n: [f"{k}x{i}" for i in range(n)]
-    passage = own("p", 60)
-    texts = [" ".join(passage + own(k, 40)) for k in range(2500)]
-    texts += [t.replace("x7 ", "y ") for t in texts[100:2500:400]]
+    passage = own("p", 120)
+    texts = [" ".join(passage + own(k, 35)) for k in range(4000)]
+    # The last 16 of the own words are others.
+    pairs = [(10 * k, 4000 + k) for k in range(400)]
+    texts += [" ".join(passage + own(a, 19) + own(f"o{a}", 16)) for a, _ in pairs]
     template = own("t", 120)
     for k in range(300):
         copy = list(template)
@@ -106,13 +109,13 @@ def test_near_buckets_of_many_unlike_members(make, monkeypatch):
         texts.append(" ".join(copy))
     texts.append(" ".join(template))
     order = rng.sample(range(len(texts)), len(texts))
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(make([(i, texts[i], "s") for i in order]), 4).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(make([(i, texts[i], "s") for i in order])).collect()}
     sets = [shingle_set(t, 4) for t in texts]
-    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
-    # Unlike by their own words; only the altered ones can link, and each copy of the template to it or to others.
-    links = [(100 + 400 * k, 2500 + k) for k in range(6)] + [(a, len(texts) - 1) for a in range(2506, 2806)]
-    assert all(similar(a, b) for a, b in links) and not similar(0, 1) and len(texts) == 2807
-    assert got == brute_components(range(len(texts)), links) and asked and asked[0] > 64
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    links = pairs + [(a, len(texts) - 1) for a in range(4400, 4700)]
+    assert all(0.8 <= similarity(a, b) for a, b in links) and max(similarity(a, b) for a, b in pairs) < 0.83
+    assert 0.6 < similarity(0, 1) < 0.7 and similarity(1, 4000) < 0.8 and len(texts) == 4701
+    assert got == brute_components(range(len(texts)), links) and asked and asked[0] > 1000
 
 
 def test_near_ids_with_several_texts(make):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from tracewarden.llm import toxicity
 from tracewarden.llm.common import table
 
+from test_copies import expected
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -20,11 +22,15 @@ def test_stages(spark):
         if name == "toxicity":
             scored = toxicity.score(spark.createDataFrame(before), toxicity.learn(table(spark, SF, "documents"), table(spark, SF, "labels"))).toPandas()
             assert set(rows["doc_id"]) == set(scored["doc_id"][scored["score"] < 0.7])
+            marks = table(spark, SF, "labels").toPandas().set_index("doc_id")["toxic"]
+            toxic, clean = set(marks.index[marks == 1]), set(marks.index[marks == 0])
+            assert clean & set(before["doc_id"]) <= set(rows["doc_id"]) and len(toxic & set(rows["doc_id"])) <= 0.2 * len(toxic)
         elif name == "exact_dedup":
             low = before["text"].str.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
             assert set(rows["doc_id"]) == set(before.groupby(low)["doc_id"].max())
         elif name == "near_dedup":
-            assert 0 < len(rows) < len(before) and set(rows["doc_id"]) <= set(before["doc_id"])
+            component = expected(list(before[["doc_id", "text"]].itertuples(index=False, name=None)), corpus_pipeline.WIDTH)
+            assert sorted(rows["doc_id"]) == sorted(i for i, c in component.items() if i == c) and len(rows) < len(before)
         elif name == "mixing":
             words = rows["text"].str.split().str.len().sum() / before["text"].str.split().str.len().sum()
             assert 1.3 < words < 1.7 and rows["doc_id"].value_counts().max() == 2

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
@@ -320,3 +321,13 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
         list(warc.parse(b"junk\r\n\r\nmore"))
     warc.write(warc.as_records(warc.resolve(pages.limit(0))), f"{path}-none")
     assert warc.read(spark, f"{path}-none").count() == 0
+
+
+def test_rules_take_long_runs_of_capitals_and_symbols_in_linear_time(make):
+    """A million characters of each kind: capitals alone, in words, with stops between, and what the other rules look at."""
+    kinds = ["A", "AB", "A B", "A, ", "AB CD ", "AB  x", "!", "!! ", "#", "## ", "|", " ", "a"]
+    texts = [(k * 1_000_000)[:1_000_000] for k in kinds]
+    began = time.perf_counter()
+    got = {kinds[r["doc_id"]]: r["n_lines_removed"] for r in quality_rules.quality_rules(make(texts)).select("doc_id", "n_lines_removed").collect()}
+    assert time.perf_counter() - began < 60
+    assert got["AB CD "] == got["AB  x"] == got["A B"] == 1 and got["A"] == got["AB"] == got["A, "] == 0

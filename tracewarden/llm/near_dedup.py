@@ -8,10 +8,10 @@ many registers are larger, smaller or equal estimates the similarity; pairs that
 on full shingle sets.
 
 Buckets that still hold several components besides the centre go on. A wide one first gets a second centre, the member
-whose registers agree most with its bucket's commonest ones, so that copies of one template meet at the template. What
-stays wide is split by a second band of the same registers where that makes less work. The rest is compared by
-registers alone, block by block, only across components; full sets travel only for members that a block's registers
-suspect. Nothing is left out of a block, and no task ever holds more than two. Components follow.
+whose registers agree most with its bucket's commonest ones, so that copies of one template meet at the template. The
+rest is compared by registers alone, block by block, only across components; full sets travel only for members that a
+block's registers suspect. A bucket of any width is compared whole, and no task ever holds more than two of its blocks.
+Components follow.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, drop, flag_by_bitmap, join_hot, key_bitmap, python_batches, table, written
 from .components import components
 
-SHINGLE, THRESHOLD = 5, 80
+SHINGLE, THRESHOLD = 4, 80
 #: Bands of ROWS registers each. A pair at the threshold escapes all bands in about three of a million cases.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -35,8 +35,9 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: A pair is dropped unverified only if its estimate is so many standard errors below the threshold.
 ERRORS = 5.0
-#: Members of a block in buckets that need many pairs, and members from which a bucket is wide.
-BLOCK, WIDE = 512, 1024
+#: Members of a block in buckets that need many pairs, those held against a block at once, and members from which a bucket
+#: gets a second centre.
+BLOCK, STRIP, WIDE = 2048, 256, 1024
 #: Shingles that an exact comparison of two blocks multiplies at once, and pairs from which that beats one pair at a time.
 SLAB, MANY = 8192, 2000
 
@@ -117,31 +118,44 @@ def suspects(pdf: pd.DataFrame, threshold: int = THRESHOLD) -> tuple[np.ndarray,
     bucket, band, comp, n = (pdf[c].to_numpy() for c in ("bucket", "band", "comp", "n_shingles"))
     left, right = (pdf["x"] == pdf["i"]).to_numpy(), (pdf["x"] == pdf["j"]).to_numpy()
     ends = [*np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-    regs, begin, pairs = _registers(pdf["sketch"]), 0, []
+    regs, begin, waiting, many, found = _registers(pdf["sketch"]), 0, [], 0, []
+    least = _least_equal(threshold)
+
+    def looked_at() -> None:
+        p, q = (np.concatenate([pair[k] for pair in waiting]) for k in (0, 1))
+        for at in range(0, len(p), 8192):
+            a, b = p[at : at + 8192], q[at : at + 8192]
+            equal = regs[a] == regs[b]
+            # A pair that shares several bands is looked at in the first of their buckets, which is open too.
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
+            some = np.flatnonzero((equal.sum(1) >= least) & (first == band[a]))
+            some = some[may_link(regs[a[some]], regs[b[some]], n[a[some]], n[b[some]], threshold)]
+            found.append((a[some], b[some]))
+
     for end in ends:
-        rows, cols = begin + np.flatnonzero(left[begin:end]), begin + np.flatnonzero(right[begin:end])
-        a, b = n[rows][:, None], n[cols][None, :]
-        ok = (comp[rows][:, None] != comp[cols][None, :]) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
-        if len(rows) == len(cols) and (rows == cols).all():
-            ok = np.triu(ok)
-        if ok.sum() > 4096:  # counted for the whole tile at once
-            equal = np.zeros(ok.shape, np.uint8)
-            for x, y in zip(np.ascontiguousarray(regs[rows].T), np.ascontiguousarray(regs[cols].T), strict=True):
-                equal += x[:, None] == y[None, :]
-            ok &= equal >= _least_equal(threshold)
-        p, q = np.nonzero(ok)
-        pairs.append((rows[p], cols[q]))
+        every, cols = begin + np.flatnonzero(left[begin:end]), begin + np.flatnonzero(right[begin:end])
+        same = len(every) == len(cols) and bool((every == cols).all())
+        for strip in range(0, len(every), STRIP):
+            rows = every[strip : strip + STRIP]
+            a, b = n[rows][:, None], n[cols][None, :]
+            ok = (comp[rows][:, None] != comp[cols][None, :]) & (100 * np.minimum(a, b) >= threshold * np.maximum(a, b))
+            if same:
+                ok = np.triu(ok, strip)
+            if ok.sum() > 4096:  # counted for the whole strip at once
+                equal = np.zeros(ok.shape, np.uint8)
+                for x, y in zip(np.ascontiguousarray(regs[rows].T), np.ascontiguousarray(regs[cols].T), strict=True):
+                    equal += x[:, None] == y[None, :]
+                ok &= equal >= least
+            p, q = np.nonzero(ok)
+            waiting.append((rows[p], cols[q]))
+            many += len(p)
+            if many > 1 << 16:
+                looked_at()
+                waiting, many = [], 0
         begin = end
-    p, q = (np.concatenate([pair[k] for pair in pairs]) for k in (0, 1))
-    keep = np.zeros(len(p), bool)
-    for at in range(0, len(p), 8192):
-        k = slice(at, at + 8192)
-        equal = regs[p[k]] == regs[q[k]]
-        # A pair that shares several bands is looked at in the first of their buckets, which is open too.
-        first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1)
-        some = np.flatnonzero((equal.sum(1) >= _least_equal(threshold)) & (first == band[p[k]])) + at
-        keep[some] = may_link(regs[p[some]], regs[q[some]], n[p[some]], n[q[some]], threshold)
-    return p[keep], q[keep]
+    if waiting:
+        looked_at()
+    return tuple(np.concatenate([np.empty(0, np.int64), *[pair[k] for pair in found]]) for k in (0, 1))
 
 
 def shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -342,20 +356,6 @@ class _Search:
         pairs = join_hot(rows.select("bucket", "id", "comp"), written(centres, "medoids"), "bucket", "many", "id")
         return written(pairs.filter("comp <> a.comp").select(F.col("a.id").alias("a"), F.col("id").alias("b")).distinct(), "medoid-pairs")
 
-    def split(self, rows: DataFrame) -> DataFrame:
-        """Wide open buckets by a second band, where the parts' squares add up to less than half of the whole's."""
-        bands = rows.join(self.reps.select("id", "sketch"), "id").select("bucket", "band", "id", "comp", "n", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("second"), "sketch")
-        parts = bands.select("bucket", "band", F.xxhash64("bucket", "second", band_of("second")).alias("part"), "id", "comp", "n")
-        sizes = parts.groupBy("bucket", "part", "n").agg(F.count(F.lit(1)).alias("k"))
-        # The bucket's own band, in which all agree, is no part.
-        sizes = sizes.filter("k < n").groupBy("bucket").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("work"), F.max("n").alias("many"))
-        pays = written(sizes.filter("2 * work < cast(many AS double) * many"), "split-buckets")
-        some = join_hot(parts, pays, "bucket", "many", "id").select(F.col("part").alias("bucket"), "band", "id", "comp", "many")
-        some = opened(some).filter("n < many").drop("many")
-        whole = flag_by_bitmap(rows, "bucket", *key_bitmap(pays, "bucket"), "maybe")
-        kept = whole.filter("NOT maybe").drop("maybe").unionByName(whole.filter("maybe").drop("maybe").join(pays.select("bucket"), "bucket", "left_anti"))
-        return kept.unionByName(some.select(kept.columns))
-
 
 def band_of(band: str):
     return F.expr(f"substring(sketch, {band} * {2 * ROWS} + 1, {2 * ROWS})")
@@ -413,7 +413,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     Texts link at a Jaccard similarity of threshold per cent or more of their distinct shingles of `width` words; shorter
     texts are one shingle, texts without words (null too) link with nothing. component_id is the smallest id reachable.
     Rows that repeat an id are one node with the links of all; rows with a null id link with nothing, have a null
-    component and are kept. An empty table gives none; other columns of docs are not read, whatever their names.
+    component and are kept. An empty table gives none; other columns of docs are not read, whatever their names. A pair at
+    exactly the threshold is missed where none of the bands agrees (three of a million) or where its registers put it more
+    than ERRORS standard errors below (fewer than one of a million); else nothing is left out, whatever a bucket's width.
     """
     python_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -430,9 +432,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     if not wide.isEmpty():
         links, label = joined(links, label, search.stars(search.medoids(wide)))
         rest = opened(with_components(members, label))
-        wide = rest.filter(F.col("n") > WIDE)
-        if not wide.isEmpty():
-            rest = rest.filter(F.col("n") <= WIDE).unionByName(search.split(wide))
     if not rest.isEmpty():
         label = joined(links, label, search.tiles(rest))[1]
     drop(members, reps)
