@@ -14,6 +14,8 @@ from tracewarden.llm.common import table, written
 
 #: Toxicity and near duplicates cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+#: Words of a shingle, as in op9.
+WIDTH = 4
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,7 +32,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest doc_id; rows with a null doc_id stay."""
-    verdict = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+    verdict = near_dedup.near_duplicates(docs.select("doc_id", "text"), width=WIDTH)
     gone = verdict.filter("NOT kept").select("doc_id").distinct()
     return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
 
