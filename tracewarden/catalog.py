@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import estate, governance, graph, identify, incidents, measure, policy, warehouse
+from .operators import boosting, estate, governance, graph, identify, incidents, measure, policy, warehouse
 from .sources import tables
 from .sources.tables import dimension, parquet, select_available, written
 
@@ -490,10 +490,10 @@ def _exposure(spark, serving, version, seq: int, least: int):
     frame, _, tests = serving
     numeric = {c for c, kind in frame.dtypes if kind not in ("string", "boolean")}
     features = [c for c in version["features"].split(",") if c in frame.columns]
+    at = boosting.cuts(frame, [c for c in features if c in numeric])
     out = None
     for column, reference in sorted({(c, ref) for c, ref, _ in tests}):
-        # Numbers are scored by thousands.
-        used = [F.floor(F.col(c) / 1000).cast("string").alias(c) if c in numeric else F.col(c) for c in features if c != column]
+        used = [boosting.bin_of(F.col(c), at[c]).cast("string").alias(c) if c in numeric else F.col(c) for c in features if c != column]
         target, groups = f"target_{column}", [g for c, _, g in tests if c == column]
         rows = frame.select("key", *used, F.col(target)).withColumn("ys", _ys(target, reference, groups)).filter("ys IS NOT NULL")
         found = measure.over_seeds(measure.auc(measure.bayes_scores(rows, [c for c in features if c != column], SEEDS), ["grp", "seed"]), ["grp"])
@@ -559,45 +559,39 @@ def _serving_frame(spark, model="value-classifier"):
 
 
 @query
-def reconstruct_gbt(spark, rounds=ROUNDS, seeds=SEEDS):
-    """The question put to boosted trees of Spark's own library: every testable attribute, group and seed, highest first.
+def reconstruct_gbt(spark, rounds=ROUNDS, seeds=SEEDS, most=None):
+    """The question put to boosted trees: every testable attribute, group and seed, highest first, on stratified splits.
 
     Only the target itself is left out of the serving version's features, not columns that hold it under other names.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
     frame, features, tests = _serving_frame(spark)
-    text = {c for c, kind in frame.dtypes if kind == "string"}
-    prepared = {}
-    for column in {c for c, _, _ in tests}:
-        used = [f for f in features if f != column]
-        steps = [StringIndexer(inputCol=f, outputCol=f"{f}_i", handleInvalid="keep") for f in used if f in text]
-        steps.append(VectorAssembler(inputCols=[f"{f}_i" if f in text else f for f in used], outputCol="features", handleInvalid="keep"))
-        ready = Pipeline(stages=steps).fit(frame).transform(frame)
-        prepared[column] = written(ready.select("key", F.col(f"target_{column}").alias("value"), "features"))
-
-    def scored(job):
-        (column, reference, grp), seed = job
-        rows = prepared[column].filter(F.col("value").isin(reference, grp)).withColumn("y", (F.col("value") == grp).cast("int"))
-        test = measure.is_test(F.lit(seed), F.col("key"))
-        fitted = GBTClassifier(labelCol="y", maxIter=rounds, stepSize=0.1, seed=seed, maxBins=64).fit(rows.filter(~test)).transform(rows.filter(test))
-        out = fitted.select(F.lit(column).alias("column_name"), F.lit(grp).alias("grp"), F.lit(seed).alias("seed"), "y", F.round(vector_to_array("probability")[1], 9).alias("score"))
-        return written(out)
-
-    # Fits wait for many small jobs each, so several run at once.
-    with ThreadPool(6) as pool:
-        parts = pool.map(inheritable_thread_target(spark)(scored), [(t, s) for t in tests for s in seeds], 1)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    every = None
+    for column, reference in sorted({(c, ref) for c, ref, _ in tests}):
+        classes, used = [reference, *[g for c, _, g in tests if c == column]], [f for f in features if f != column]
+        rows = measure.stratified(frame.filter(F.col(f"target_{column}").isin(*classes)), f"target_{column}", seeds)
+        code = F.array_position(F.array(*map(F.lit, classes)), F.col(f"target_{column}")).cast("int") - 1
+        made, ordered = boosting.cells(rows, used, code, F.col("tests"))
+        found = boosting.scores(made, ordered, classes, seeds, rounds, most=most).withColumn("column_name", F.lit(column))
+        every = found if every is None else every.unionByName(found)
     by = ["column_name", "grp"]
-    return measure.over_seeds(measure.auc(every, [*by, "seed"], cut=0.5), by).orderBy(F.desc("auc"), *by)
+    return measure.over_seeds(measure.auc(every, [*by, "seed"], weight="n"), by).orderBy(F.desc("auc"), *by)
+
+
+@query
+def stratified_split(spark):
+    """Which orders one seed holds out: a quarter of each segment to the row."""
+    rows = measure.stratified(spark.table("dim_order").select("order_id", "segment"), "segment", SEEDS[:1], key="order_id")
+    return rows.select("order_id", "segment", F.col("tests")[0].alias("held_out"))
+
+
+@query
+def learned_cuts(spark):
+    """Where 62 cuts divide the numbers of orders, line items and customers into equal parts."""
+    out = []
+    for table, columns in (("dim_order", ["total_usd", "account_balance_usd"]), ("raw_lineitem", ["l_quantity", "l_extendedprice", "l_discount"])):
+        found = boosting.cuts(spark.table(table), columns)
+        out += [(table, c, k, float(v)) for c in columns for k, v in enumerate(found[c], 1)]
+    return dimension(spark, out, "table_name string, column_name string, place int, cut double")
 
 
 def _over_files(name):

@@ -22,14 +22,40 @@ def seeds_from(seed: int, repeats: int = 1) -> list[int]:
     return list(range(seed, seed + max(1, repeats)))
 
 
-def auc(scored: DataFrame, by: list[str], cut: float = 0.0) -> DataFrame:
+def stratified(frame: DataFrame, by: str, seeds: list[int], share: int = 4, key: str = "key") -> DataFrame:
+    """frame with `tests`, an array that says for each seed whether a row is held out: of each class of `by` one in `share`
+    to the row, halves rounded up, those whose digests of seed and key are lowest.
+
+    A histogram of digests finds the bucket in which a class's last held-out row lies; only that bucket's rows, one in
+    4,096, are ordered. Rows that repeat a key stay together, so that a class may then hold out more. Rows of the null
+    class are never held out. A column `tests` is replaced.
+    """
+    frame = frame.drop("tests")
+    digest = lambda s: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(s)), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    each = frame.filter(F.col(by).isNotNull()).select(F.col(by).alias("cls"), F.col(key).alias("key"), F.posexplode(F.array(*map(digest, seeds))).alias("s", "h"))
+    each = each.withColumn("bucket", F.shiftright("h", 48))
+    counts = written(each.groupBy("cls", "s", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("cls", "s").orderBy("bucket"))
+    wanted = F.floor((F.sum("n").over(Window.partitionBy("cls", "s")) + share // 2) / share)
+    edge = counts.select("cls", "s", "bucket", "n", upto.alias("upto"), wanted.alias("wanted")).filter("upto >= wanted AND upto - n < wanted")
+    edge = written(edge.select("cls", "s", "bucket", (F.col("wanted") - F.col("upto") + F.col("n")).alias("need")))
+    order = Window.partitionBy("cls", "s").orderBy("h", "key")
+    last = each.join(edge, ["cls", "s", "bucket"]).withColumn("k", F.row_number().over(order)).filter("k = need")
+    limits = written(last.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("s", F.struct("h", "key")))).alias("limits")))
+    out = frame.join(limits.withColumnRenamed("cls", "__class"), F.col(by) == F.col("__class"), "left")
+    held = [F.coalesce(F.struct(digest(s).alias("h"), F.col(key).alias("key")) <= F.col("limits")[i], F.lit(False)) for i, s in enumerate(seeds)]
+    return out.withColumn("tests", F.array(*held)).drop("__class", "limits")
+
+
+def auc(scored: DataFrame, by: list[str], cut: float = 0.0, weight: str | None = None) -> DataFrame:
     """(by..., auc, accuracy, n_test, positive_rate) of rows (by..., y, score): Mann-Whitney with average ranks.
 
-    auc is null where one class is missing; accuracy takes scores above `cut` as positive. Rows are grouped by score
+    weight names a column that says how many rows one stands for. auc is null where one class is missing; accuracy takes scores above `cut` as positive. Rows are grouped by score
     first. Distinct scores are dealt out by range and added up within a range; the sums of the ranges before, a row for
     each range and group, are joined. So no task sorts a whole group. An empty table gives no row.
     """
-    counts = scored.groupBy(*by, "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
+    each = F.col(weight) if weight else F.lit(1)
+    counts = scored.groupBy(*by, "score").agg(F.sum(F.col("y") * each).cast("double").alias("p"), F.sum((1 - F.col("y")) * each).cast("double").alias("n"))
     counts = written(counts.repartitionByRange(*by, "score").withColumn("part", F.spark_partition_id()))
     parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("in_part"))
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

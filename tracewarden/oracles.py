@@ -143,6 +143,18 @@ def screened() -> str:
         alone, base, with_it, round(lift, 6) AS lift, round(threshold, 6) AS threshold, lift >= threshold AS fires FROM {values(estate.HYPOTHESES)} y(hypothesis, column_name) LEFT JOIN l ON h = hypothesis)"""
 
 
+def cut_rows(column: str, table: str, parts: int = 63) -> str:
+    """Values x at which a running count of the table's rows passes a multiple of n / parts."""
+    return f"""SELECT x FROM (SELECT {column}::DOUBLE AS x, row_number() OVER (ORDER BY {column}) AS i, count(*) OVER () AS n FROM {table} WHERE {column} IS NOT NULL)
+      WHERE least(({parts} * i) // n, {parts - 1}) > ({parts} * (i - 1)) // n"""
+
+
+def _cuts() -> str:
+    parts = [("dim_order", c, "dim") for c in ("total_usd", "account_balance_usd")] + [("raw_lineitem", c, "lineitem") for c in ("l_quantity", "l_extendedprice", "l_discount")]
+    each = [f"SELECT '{name}' AS table_name, '{c}' AS column_name, x FROM ({cut_rows(c, t)})" for name, c, t in parts]
+    return f"WITH {DIM}, e AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(each)})) SELECT table_name, column_name, row_number() OVER (PARTITION BY table_name, column_name ORDER BY x)::INT AS place, x AS cut FROM e"
+
+
 #: The features of both versions; the serving model is measured with each, on the rows of its training table.
 _VERSIONS = [(seq, f) for seq, v in ((1, "1"), (2, "2")) for m in estate.MODELS if m[:2] == ("value-classifier", v) for f in m[4].split(",")]
 EXPOSED = f"""
@@ -150,7 +162,9 @@ EXPOSED = f"""
 vf AS (SELECT order_id AS k, segment, status_code, nation_name, priority_code, account_balance_usd FROM dim WHERE account_balance_usd >= 0),
 ty AS (SELECT 'segment' AS column_name, 'BUILDING' AS against, g AS grp, k, (segment = g)::INT AS y FROM vf, (SELECT unnest(['AUTOMOBILE', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']) AS g) WHERE segment IN ('BUILDING', g)
        UNION ALL SELECT 'status_code', 'O', g, k, (status_code = g)::INT FROM vf, (SELECT unnest(['F', 'P']) AS g) WHERE status_code IN ('O', g)),
-fv AS (SELECT k, unnest(['market_code', 'origin_name', 'status_code', 'priority_code', 'account_balance_usd']) AS feature, unnest([segment, nation_name, status_code, priority_code, floor(account_balance_usd / 1000)::BIGINT::VARCHAR]) AS v FROM vf),
+cq AS (SELECT DISTINCT x FROM ({cut_rows('account_balance_usd', 'vf')})),
+bn AS (SELECT v.x, count(cq.x) AS b FROM (SELECT DISTINCT account_balance_usd AS x FROM vf) v LEFT JOIN cq ON cq.x <= v.x GROUP BY v.x),
+fv AS (SELECT k, unnest(['market_code', 'origin_name', 'status_code', 'priority_code', 'account_balance_usd']) AS feature, unnest([segment, nation_name, status_code, priority_code, b::VARCHAR]) AS v FROM vf JOIN bn ON bn.x = account_balance_usd),
 ver(seq, feature) AS {values(_VERSIONS)},
 lg AS (SELECT seq, column_name, against, grp, seed, k, y, md5(seed || ':' || k)[1] IN ('0', '1', '2', '3') AS test, feature, v
        FROM ty JOIN fv USING (k) JOIN ver USING (feature), (SELECT unnest([17, 18, 19]) AS seed) WHERE feature <> column_name),
@@ -273,5 +287,8 @@ ORACLES = {
     "silent_measurements": f"WITH {_COMPARE} SELECT model, column_name, grp, status FROM done WHERE status <> 'fires'",
     "features_gained_lost": f"""WITH {_COMPARE}, f AS (SELECT model, string_split(max(features) FILTER (back = 0), ',') AS n, string_split(max(features) FILTER (back = 1), ',') AS w FROM last GROUP BY 1)
       SELECT model, array_to_string(list_filter(n, lambda x: NOT list_contains(w, x)), ',') AS gained, array_to_string(list_filter(w, lambda x: NOT list_contains(n, x)), ',') AS lost FROM f WHERE w IS NOT NULL""",
+    "learned_cuts": _cuts(),
+    "stratified_split": f"""WITH {DIM}, h AS (SELECT order_id, segment, ('0x' || substr(md5('17:' || order_id), 1, 15))::BIGINT AS h FROM dim)
+      SELECT order_id, segment, segment IS NOT NULL AND row_number() OVER (PARTITION BY segment ORDER BY h, order_id) <= (count(*) OVER (PARTITION BY segment) + 2) // 4 AS held_out FROM h""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
