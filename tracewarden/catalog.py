@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import boosting, estate, governance, graph, identify, incidents, measure, policy, warehouse
+from .operators import boosting, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
 from .sources import tables
 from .sources.tables import dimension, parquet, select_available, written
 
@@ -608,3 +608,42 @@ def _over_files(name):
 def event_windows(events):
     """Hourly counts by type; the batch twin of the stream in streaming.recordings."""
     return events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Walks over what pages point at
+
+
+@_over_files("pages")
+def page_link_degrees(pages):
+    """How many pages point at each target."""
+    return paths.page_links(pages).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _first(pages):
+    return dimension(pages.sparkSession, [(f"page:{pages.agg(F.min('page_id')).first()[0]}", 0)], "seed string, bit int")
+
+
+@_over_files("pages")
+def page_walk(pages):
+    """Everything within eight hops of the first page, through targets that pages share, with the least number of hops."""
+    return paths.reach_together(paths.both_ways(paths.page_links(pages)), _first(pages), 8).filter("hops > 0").select("node", "hops")
+
+
+@_over_files("pages")
+def page_walk_of_many(pages):
+    """How many of the first 62 pages reach each node at each number of hops, all walked at once."""
+    ids = sorted(r["page_id"] for r in pages.select("page_id").distinct().orderBy("page_id").limit(paths.SEEDS).collect())
+    seeds = dimension(pages.sparkSession, [(f"page:{i}", k) for k, i in enumerate(ids)], "seed string, bit int")
+    found = paths.reach_together(paths.both_ways(paths.page_links(pages)), seeds, 8)
+    return found.filter("hops > 0").select("node", "hops", F.bit_count("seeds").cast("long").alias("n_seeds"))
+
+
+@_over_files("pages")
+def page_paths(pages):
+    """All shortest paths from the first page to the first of the pages that are furthest from it, within eight hops."""
+    edges, seeds = paths.both_ways(paths.page_links(pages)), _first(pages)
+    start = seeds.first()["seed"]
+    walked = paths.reach_together(edges, seeds, 8).filter("node LIKE 'page:%'").select(F.lit(start).alias("seed"), "node", "hops")
+    end = paths.furthest(walked).agg(F.min_by("node", F.substring("node", 6, 20).cast("long")).alias("node")).first()["node"]
+    steps, length = paths.shortest_edges(edges, start, end or start)
+    return paths.all_paths(steps, length, start).select(F.concat_ws(" ", "path").alias("path"), F.lit(length).alias("hops"))

@@ -155,6 +155,14 @@ def _cuts() -> str:
     return f"WITH {DIM}, e AS (SELECT DISTINCT * FROM ({' UNION ALL '.join(each)})) SELECT table_name, column_name, row_number() OVER (PARTITION BY table_name, column_name ORDER BY x)::INT AS place, x AS cut FROM e"
 
 
+#: Pages and what their anchors point at, both ways; breadth first, one level after the other, for as many hops as asked.
+LINKS = r"""pl AS (SELECT DISTINCT 'page:' || page_id AS page, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS target FROM pages),
+ed AS (SELECT page AS src, target AS dst FROM pl WHERE target <> '' UNION SELECT target, page FROM pl WHERE target <> '')"""
+_WALK = "wk(seed, node, hops) AS ({seeds} UNION SELECT wk.seed, ed.dst, wk.hops + 1 FROM wk JOIN ed ON ed.src = wk.node WHERE wk.hops < 8)"
+_FIRST = "SELECT 'page:' || min(page_id) AS seed, 'page:' || min(page_id) AS node, 0 AS hops FROM pages"
+_SIXTY_TWO = "SELECT 'page:' || page_id, 'page:' || page_id, 0 FROM (SELECT DISTINCT page_id FROM pages ORDER BY page_id LIMIT 62)"
+
+
 #: The features of both versions; the serving model is measured with each, on the rows of its training table.
 _VERSIONS = [(seq, f) for seq, v in ((1, "1"), (2, "2")) for m in estate.MODELS if m[:2] == ("value-classifier", v) for f in m[4].split(",")]
 EXPOSED = f"""
@@ -290,5 +298,12 @@ ORACLES = {
     "learned_cuts": _cuts(),
     "stratified_split": f"""WITH {DIM}, h AS (SELECT order_id, segment, ('0x' || substr(md5('17:' || order_id), 1, 15))::BIGINT AS h FROM dim)
       SELECT order_id, segment, segment IS NOT NULL AND row_number() OVER (PARTITION BY segment ORDER BY h, order_id) <= (count(*) OVER (PARTITION BY segment) + 2) // 4 AS held_out FROM h""",
+    "page_link_degrees": f"WITH {LINKS} SELECT target, count(*) AS n FROM pl WHERE target <> '' GROUP BY 1",
+    "page_walk": f"WITH RECURSIVE {LINKS}, {_WALK.format(seeds=_FIRST)} SELECT node, min(hops)::INT AS hops FROM wk WHERE node <> seed GROUP BY node",
+    "page_walk_of_many": f"""WITH RECURSIVE {LINKS}, {_WALK.format(seeds=_SIXTY_TWO)}, least AS (SELECT seed, node, min(hops) AS hops FROM wk WHERE node <> seed GROUP BY ALL)
+      SELECT node, hops::INT AS hops, count(*) AS n_seeds FROM least GROUP BY ALL""",
+    "page_paths": f"""WITH RECURSIVE {LINKS}, {_WALK.format(seeds=_FIRST)}, dist AS (SELECT node, min(hops) AS hops FROM wk GROUP BY node), goal AS (SELECT 'page:' || min(substr(node, 6)::BIGINT) AS g FROM dist WHERE node LIKE 'page:%' AND hops = (SELECT max(hops) FROM dist WHERE node LIKE 'page:%')),
+      pa(node, hops, path) AS (SELECT g, hops, g FROM goal JOIN dist ON node = g UNION ALL SELECT ed.src, pa.hops - 1, ed.src || ' ' || path FROM pa JOIN ed ON ed.dst = pa.node JOIN dist ON dist.node = ed.src AND dist.hops = pa.hops - 1)
+      SELECT path, (SELECT hops FROM dist JOIN goal ON node = g)::INT AS hops FROM pa WHERE hops = 0""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
