@@ -37,7 +37,7 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 ERRORS = 5.0
 #: Members of a block in buckets that need many pairs, those held against a block at once, and members from which a bucket
 #: gets a second centre.
-BLOCK, STRIP, WIDE = 2048, 256, 1024
+BLOCK, STRIP, WIDE = 512, 256, 1024
 #: Shingles that an exact comparison of two blocks multiplies at once, and pairs from which that beats one pair at a time.
 SLAB, MANY = 8192, 2000
 
