@@ -116,18 +116,17 @@ def test_search_against_brute_force(spark, make, monkeypatch, shard):
     items = [(1, "ALPHA beta the beta"), (2, "rare;zz"), (3, None), (4, ""), (5, "nowhere"), (6, "the"), (6, "日本"), (None, "x1 of")]
     queries = spark.createDataFrame(items, "item_id int, text string")
     index = lexical_search.build_index(make(docs).repartition(3))
-    n = lexical_search.statistics(make(docs))[0]
     for k, block in ((10, 1000), (3, 2), (400, 1)):
-        got = sorted(map(tuple, lexical_search.search(index, n, queries, k, block=block).select("item_id", "rank", "doc_id", "score").collect()), key=str)
+        got = sorted(map(tuple, lexical_search.search(index, queries, k, block=block).select("item_id", "rank", "doc_id", "score").collect()), key=str)
         assert got == sorted(brute_search([(i, t) for i, t, _ in docs], items, k), key=str)
 
 
 def test_search_of_and_in_empty_tables(spark, odd):
     queries = spark.createDataFrame([(1, "one")], "item_id long, text string")
     for docs in (odd, odd.limit(0)):
-        index, (n, _) = lexical_search.build_index(docs), lexical_search.statistics(docs)
-        assert lexical_search.search(index, n, queries.limit(0)).count() == 0
-        assert lexical_search.search(index, n, queries).count() == (3 if n else 0)
+        index = lexical_search.build_index(docs)
+        assert lexical_search.search(index, queries.limit(0)).count() == 0
+        assert lexical_search.search(index, queries).count() == (3 if docs is odd else 0)
 
 
 def test_best_keeps_the_right_ties():

@@ -185,16 +185,17 @@ def _cut(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, item_col: str = "item_id", text_col: str = "text", block: int = ITEMS) -> DataFrame:
-    """(item, rank, doc_id, score) of each item's k highest-scoring documents, from rank 1 on; n_docs as `statistics` says.
+def search(index: DataFrame, queries: DataFrame, k: int = 10, item_col: str = "item_id", text_col: str = "text", block: int = ITEMS) -> DataFrame:
+    """(item, rank, doc_id, score) of each item's k highest-scoring documents, from rank 1 on.
 
-    A term weighs floor(1000 ln((2 n_docs + 2) / (2 df + 1))), df being the documents that hold it; a score sums weight
+    A term weighs floor(1000 ln((2 n + 2) / (2 df + 1))), n being the index's documents and df those that hold it; a score sums weight
     times impact over the item's terms, repeats included. Equal scores go by ascending doc_id. Rows with the same item id
     (null is one) make one item, items without terms or without a document above 0 have no row. The driver holds one block
     of items at a time, their terms and what those weigh.
     """
     spark, out = index.sparkSession, None
     python_batches(spark)
+    n_docs = index.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     kind = dict(queries.dtypes)[item_col]
     for names, items in _blocks(queries, item_col, text_col, block):
         df = document_frequencies(index, {t for _, parts in items for t, _ in parts})
@@ -212,8 +213,7 @@ def search(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, item_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: the ten best documents of every benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = build_index(docs)
-    return search(index, statistics(docs)[0], table(spark, sf_dir, "benchmark"))
+    return search(build_index(docs), table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = rf"""
