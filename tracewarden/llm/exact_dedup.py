@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_by_bitmap, key_bitmap, lower_ascii, quoted, table, written
+from .common import flag_by_bitmap, key_bitmap, lower_ascii, quoted, table, unused, written
 
 PREFIX_CHARS = 64
 
@@ -35,29 +35,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty table gives none.
     """
     names = [c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept")]
-    rows = docs.select(F.struct(*quoted(names)).alias("row"))
-    me, text = F.col("row")[id_col], F.coalesce(F.col("row")[text_col], F.lit(""))
-    rows = rows.withColumn("len", F.octet_length(text))
-
-    by_length = rows.groupBy("len").count().filter("count > 1").select("len")
-    level1 = flag_by_bitmap(rows, "len", *key_bitmap(by_length, "len"), "same_length")
-
-    prefix = F.when(F.col("same_length"), F.xxhash64("len", lower_ascii(F.substring(text, 1, PREFIX_CHARS))))
-    level2 = level1.withColumn("prefix", prefix).drop("same_length")
-    by_prefix = level2.filter("prefix IS NOT NULL").groupBy("prefix").count().filter("count > 1").select("prefix")
-    level2 = flag_by_bitmap(level2, "prefix", *key_bitmap(by_prefix, "prefix"), "same_prefix").withColumn("same_prefix", F.expr("same_prefix AND prefix IS NOT NULL"))
-
-    hashed = level2.filter("same_prefix").withColumn("full", F.unhex(F.sha2(F.encode(lower_ascii(text), "UTF-8"), 256)))
-    groups = hashed.groupBy("len", "full").agg(F.max(me).alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    length, prefix, full, keep, size, flag = unused(docs, "len", "prefix", "full", "keep", "size", "flag")
+    rows = docs.select(*quoted(names))
+    (me, text), one = quoted([id_col, text_col]), F.lit(1).cast("long")
+    text = F.coalesce(text, F.lit(""))
+    rows = rows.withColumn(length, F.octet_length(text))
+
+    by_length = rows.groupBy(length).count().filter("count > 1").select(length)
+    lengths = key_bitmap(by_length, length)
+    level1 = flag_by_bitmap(rows, length, *lengths, flag)
+
+    level2 = level1.withColumn(prefix, F.when(F.col(flag), F.xxhash64(length, lower_ascii(F.substring(text, 1, PREFIX_CHARS))))).drop(flag)
+    by_prefix = level2.filter(F.col(prefix).isNotNull()).groupBy(prefix).count().filter("count > 1").select(prefix)
+    prefixes = key_bitmap(by_prefix, prefix)
+    level2 = flag_by_bitmap(level2, prefix, *prefixes, flag).withColumn(flag, F.col(flag) & F.col(prefix).isNotNull()).drop(prefix)
+
+    hashed = level2.filter(flag).withColumn(full, F.unhex(F.sha2(F.encode(lower_ascii(text), "UTF-8"), 256)))
+    groups = hashed.groupBy(length, full).agg(F.max(me).alias(keep), F.count(F.lit(1)).alias(size)).filter(F.col(size) > 1)
     # Written first, so that the join deals out both sides itself and can split a hot group's rows.
     groups = written(groups, "equal-texts")
 
-    in_groups = hashed.join(groups, ["len", "full"], "left")
-    keep, size = F.when(F.col("size").isNull(), me).otherwise(F.col("keep")), F.coalesce("size", F.lit(1).cast("long"))
-    in_groups = in_groups.select("row", keep.alias("keep_id"), size.alias("group_size"))
-    alone = level2.filter("NOT same_prefix").select("row", me.alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    every = alone.unionByName(in_groups)
-    return every.select(*[F.col("row")[c].alias(c) for c in names], "keep_id", "group_size", me.eqNullSafe(F.col("keep_id")).alias("kept"))
+    # Columns of their own, no struct: what the caller does not ask for, texts above all, stays out of the join.
+    in_groups = hashed.join(groups, [length, full], "left")
+    in_groups = in_groups.select(*quoted(names), F.when(F.col(size).isNull(), me).otherwise(F.col(keep)).alias("keep_id"), F.coalesce(size, one).alias("group_size"))
+    alone = level2.filter(~F.col(flag)).select(*quoted(names), me.alias("keep_id"), one.alias("group_size"))
+    return alone.unionByName(in_groups).withColumn("kept", me.eqNullSafe(F.col("keep_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
