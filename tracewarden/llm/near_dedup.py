@@ -415,7 +415,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     Rows that repeat an id are one node with the links of all; rows with a null id link with nothing, have a null
     component and are kept. An empty table gives none; other columns of docs are not read, whatever their names. A pair at
     exactly the threshold is missed where none of the bands agrees (three of a million) or where its registers put it more
-    than ERRORS standard errors below (fewer than one of a million); else nothing is left out, whatever a bucket's width.
+    than ERRORS standard errors below (about three of a million); else nothing is left out, whatever a bucket's width.
     """
     python_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
