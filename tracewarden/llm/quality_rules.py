@@ -35,20 +35,20 @@ LEAST_WORDS = 50
 MOST_REPEATED, LEAST_LEFT = 50, 50
 
 
-def holds_boilerplate(line: Column) -> Column:
+def holds_boilerplate(small: Column) -> Column:
     """One plain search a phrase: a pattern of as many branches tries them all at every character."""
-    small = F.lower(line)
     return reduce(Column.__or__, [small.contains(p) for p in BOILERPLATE])
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, small: Column) -> Column:
+    """Whether a line breaks a rule; small is the line in lower case, made once for all phrases."""
     return (
         line.rlike(SYMBOL_RUNS)
         | line.rlike(EXCLAIMS)
         | line.rlike(CAPITALS)
         | (line.rlike(EIGHT_WORDS) & ~line.rlike(STOP))
         | line.rlike(NAVIGATION)
-        | holds_boilerplate(line)
+        | holds_boilerplate(small)
     )
 
 
@@ -77,7 +77,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
             1, F.greatest(F.size("words") - 2, F.lit(0)),
         ),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "good": F.filter("lines", lambda x: ~line_fails(x)),
+        "good": F.transform(
+            F.filter(F.transform("lines", lambda x: F.struct(x.alias("line"), F.lower(x).alias("small"))), lambda x: ~line_fails(x["line"], x["small"])), lambda x: x["line"]
+        ),
     })
     out = out.withColumn("hashes", F.col("windows.h"))
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
