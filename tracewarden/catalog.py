@@ -11,6 +11,7 @@ from .functions import names
 from .operators import boosting, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
 from .sources import tables
 from .sources.tables import dimension, parquet, select_available, written
+from .streaming import shifts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEEDS = measure.seeds_from(17, 3)
@@ -610,6 +611,15 @@ def event_windows(events):
     return events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def event_shifts(spark, sf_dir):
+    """Daily means of each user held against the day before, from state that a stream over events keeps, and users that fell
+    silent; a stream started for this reads what there is and ends."""
+    return shifts.drained(spark, f"{sf_dir}/events.parquet")
+
+
+QUERIES["event_shifts"] = event_shifts
+
+
 # Walks over what pages point at
 
 

@@ -306,4 +306,13 @@ ORACLES = {
       pa(node, hops, path) AS (SELECT g, hops, g FROM goal JOIN dist ON node = g UNION ALL SELECT ed.src, pa.hops - 1, ed.src || ' ' || path FROM pa JOIN ed ON ed.dst = pa.node JOIN dist ON dist.node = ed.src AND dist.hops = pa.hops - 1)
       SELECT path, (SELECT hops FROM dist JOIN goal ON node = g)::INT AS hops FROM pa WHERE hops = 0""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "event_shifts": """WITH rows AS (SELECT user_id, ts, CAST(round(value * 100) AS BIGINT) AS w FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS mark FROM rows),
+days AS (SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n, CAST(sum(w) AS DOUBLE) AS s, CAST(sum(w * w) AS DOUBLE) AS q FROM rows GROUP BY ALL),
+closed AS (SELECT *, s / n / 100 AS mean, CASE WHEN n > 1 THEN sqrt(greatest(0, q - s * s / n) / (n - 1) / n) / 100 END AS noise FROM days, mark WHERE start + INTERVAL 1 DAY <= mark),
+sides AS (SELECT *, lag(start) OVER w AS before, lag(mean) OVER w AS was, lag(noise) OVER w AS noise_was, lead(start) OVER w AS next FROM closed WINDOW w AS (PARTITION BY user_id ORDER BY start)),
+held AS (SELECT *, before >= start - INTERVAL 2 DAY AS known, greatest(0.02, 4 * greatest((noise + noise_was) / 2, 0.001)) AS threshold FROM sides)
+SELECT user_id, start, n, round(mean, 6) AS mean, CASE WHEN known THEN round(mean - was, 6) END AS delta, CASE WHEN known AND noise + noise_was IS NOT NULL THEN round(threshold, 6) END AS threshold,
+CASE WHEN known IS NOT TRUE THEN 'first' WHEN noise + noise_was IS NULL THEN 'not_comparable' WHEN abs(mean - was) >= threshold THEN 'fires' ELSE 'silent' END AS status FROM held
+UNION ALL SELECT user_id, start, n, round(mean, 6), NULL, NULL, 'gone' FROM held WHERE next > start + INTERVAL 2 DAY OR (next IS NULL AND start + INTERVAL 3 DAY <= mark)""",
 }
