@@ -44,6 +44,17 @@ def test_reported_speech_goes_on_behind_a_colon():
     assert match.features("she said: you idiot")[1] < match.features("see here: you idiot")[1]
 
 
+def test_many_colons_take_linear_time():
+    """Behind a report, a colon ends nothing, so that a clause may be as long as the text."""
+    match = toxicity.Matcher(toxicity.Model({"idiot": 3.0}))
+    began = time.perf_counter()
+    assert match.features("idiot said " + ":a" * 500_000)[0] == 1.0
+    assert [len(c) for c in match.clauses("said" + ":a" * 500_000)] == [500_001]
+    assert sum(1 for _ in match.clauses("a" + ":a" * 500_000)) == 500_001
+    assert time.perf_counter() - began < 20
+
+
+
 def one_by_one(words, weight):
     """A clause's score by the three transducers, each run over the whole output of the one before."""
     match = toxicity.Matcher(toxicity.Model({}))

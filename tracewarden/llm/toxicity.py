@@ -152,11 +152,14 @@ class Matcher:
                 yield WORD.findall(part)
                 continue
             words: list[str] = []
+            reported = False
             for piece in part.split(":"):
-                if words and not any(self.symbol.get(w) == REPORT for w in words):
+                if words and not reported:
                     yield words
                     words = []
-                words = words + WORD.findall(piece)
+                new = WORD.findall(piece)
+                reported = reported or any(self.symbol.get(w) == REPORT for w in new)
+                words.extend(new)
             yield words
 
     def clause(self, words: list[str], plain: set[str] | None = None) -> float:
