@@ -475,34 +475,41 @@ def recorded_models(spark):
 
 def _recorded(spark, least: int = measure.LEAST_ROWS):
     """A history of the serving model: measured with the features of its version 1, then of version 2; read back."""
-    path, frame = tables.fresh_folder(spark, "recordings"), None
-    for seq, version in ((1, "1"), (2, "2")):
-        row = estate.models(spark).filter((F.col("model") == "value-classifier") & (F.col("version") == version)).first()
-        frame = frame or _serving_frame(spark)
-        tables.append_history(_exposure(spark, frame, row, seq, least), path)
+    path = tables.fresh_folder(spark, "recordings")
+    held = {r["version"]: r for r in estate.models(spark).filter("model = 'value-classifier'").collect()}
+    tables.append_history(_exposure(spark, _serving_frame(spark), [(1, held["1"]), (2, held["2"])], least), path)
     return tables.read_history(spark, path, EXPOSURE)
 
 
 EXPOSURE = "model string, seq int, version string, feature_table string, features string, column_name string, grp string, against string, auc double, auc_stdev double, n_rows long"
 
 
-def _exposure(spark, serving, version, seq: int, least: int):
-    """One recording: every testable attribute and group that has rows enough, the attribute itself never among the features."""
+def _exposure(spark, serving, versions, least: int):
+    """Recordings of versions (seq, model row): every testable attribute and group that has rows enough, the attribute itself
+    never among the features. Values of all attributes and versions are counted in one pass and scored in another."""
     frame, _, tests = serving
     numeric = {c for c, kind in frame.dtypes if kind not in ("string", "boolean")}
-    features = [c for c in version["features"].split(",") if c in frame.columns]
-    at = boosting.cuts(frame, [c for c in features if c in numeric])
-    out = None
-    for column, reference in sorted({(c, ref) for c, ref, _ in tests}):
-        used = [boosting.bin_of(F.col(c), at[c]).cast("string").alias(c) if c in numeric else F.col(c) for c in features if c != column]
-        target, groups = f"target_{column}", [g for c, _, g in tests if c == column]
-        rows = frame.select("key", *used, F.col(target)).withColumn("ys", _ys(target, reference, groups)).filter("ys IS NOT NULL")
-        found = measure.over_seeds(measure.auc(measure.bayes_scores(rows, [c for c in features if c != column], SEEDS), ["grp", "seed"]), ["grp"])
-        found = found.join(measure.subset_sizes(rows), "grp").filter(F.col("n_rows") >= least)
-        head = [F.lit(version["model"]).alias("model"), F.lit(seq).alias("seq"), F.lit(version["version"]).alias("version"), F.lit(version["feature_table"]).alias("feature_table"), F.lit(version["features"]).alias("features")]
-        found = found.select(*head, F.lit(column).alias("column_name"), "grp", F.lit(reference).alias("against"), "auc", "auc_stdev", "n_rows")
-        out = found if out is None else out.unionByName(found)
-    return out
+    listed = {seq: [c for c in row["features"].split(",") if c in frame.columns] for seq, row in versions}
+    every = list(dict.fromkeys(c for features in listed.values() for c in features))
+    at = boosting.cuts(frame, [c for c in every if c in numeric])
+    used = [boosting.bin_of(F.col(c), at[c]).cast("string").alias(c) if c in numeric else F.col(c) for c in every]
+    against = list(enumerate(sorted({(c, ref) for c, ref, _ in tests})))
+    if not against:
+        return spark.createDataFrame([], EXPOSURE)
+    # Groups and sets of features carry the number of the attribute that they belong to.
+    name = lambda g, k: F.transform(g, lambda x: F.struct(F.concat(F.lit(f"{k}|"), x["grp"]).alias("grp"), x["y"].alias("y")))
+    ys = [F.coalesce(name(_ys(f"target_{c}", ref, [g for t, _, g in tests if t == c]), k), F.array().cast("array<struct<grp:string,y:int>>")) for k, (c, ref) in against]
+    rows = frame.select("key", *used, *{f"target_{c}": F.col(f"target_{c}") for _, (c, _) in against}.values()).withColumn("ys", F.concat(*ys)).filter("size(ys) > 0")
+    sets = [(f"{seq}|{k}", [f for f in features if f != c]) for seq, features in listed.items() for k, (c, _) in against]
+    same = F.substring_index("feature_set", "|", -1) == F.substring_index("grp", "|", 1)
+    scored = measure.bayes_scores(rows, every, SEEDS, sets=sets, of=same)
+    found = measure.over_seeds(measure.auc(scored, ["grp", "feature_set", "seed"]), ["grp", "feature_set"])
+    found = found.join(measure.subset_sizes(rows), "grp").filter(F.col("n_rows") >= least)
+    heads = dimension(spark, [(row["model"], seq, row["version"], row["feature_table"], row["features"]) for seq, row in versions], "model string, seq int, version string, feature_table string, features string")
+    refs = dimension(spark, [(k, c, ref) for k, (c, ref) in against], "k int, column_name string, against string")
+    found = found.select(F.substring_index("feature_set", "|", 1).cast("int").alias("seq"), F.substring_index("grp", "|", 1).cast("int").alias("k"), F.expr("substring(grp, instr(grp, '|') + 1)").alias("grp"), "auc", "auc_stdev", "n_rows")
+    found = found.join(F.broadcast(heads), "seq").join(F.broadcast(refs), "k")
+    return found.select([f.split()[0] for f in EXPOSURE.split(", ")])
 
 
 @query

@@ -70,8 +70,10 @@ def auc(scored: DataFrame, by: list[str], cut: float = 0.0, weight: str | None =
     )
 
 
-def bayes_scores(frame: DataFrame, features: list[str], seeds: list[int], alone: bool = False) -> DataFrame:
-    """(grp, seed, y, score) of the test rows of frame (key, ys, features as strings); with alone, of each feature by itself.
+def bayes_scores(frame: DataFrame, features: list[str], seeds: list[int], alone: bool = False, sets: list[tuple[str, list[str]]] | None = None, of: Column | None = None) -> DataFrame:
+    """(grp, seed, y, score) of the test rows of frame (key, ys, features as strings); with alone, of each feature by itself
+    (`feature`); with sets, of each named list of features (`feature_set`), all from the same pass. `of` is a condition on
+    grp and feature_set that says which sets are scored for which groups.
 
     ys lists the groups that a row takes part in as structs (grp, y). The score sums, over features, the smoothed log-odds
     of the row's value among training rows, in whole micro-units, so that the sum does not depend on its order. Rows are
@@ -91,13 +93,14 @@ def bayes_scores(frame: DataFrame, features: list[str], seeds: list[int], alone:
     each = each.select("g.grp", "g.y", F.posexplode("tests").alias("s", "test"), *[f"w{i}" for i in range(len(features))]).filter("test")
     values = [F.coalesce(F.col(f"w{i}")[at], F.lit(0)) for i in range(len(features))]
     seed = F.array(*map(F.lit, seeds))[F.col("s")].alias("seed")
-    if alone:
-        named = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), v.alias("score")) for c, v in zip(features, values, strict=True)]))
-        return each.select("grp", seed, "y", named.alias("x")).select("grp", "seed", "y", "x.feature", "x.score")
-    total = values[0]
-    for v in values[1:]:
-        total = total + v
-    return each.select("grp", seed, "y", total.alias("score"))
+    total = lambda names: sum((values[features.index(c)] for c in names), F.lit(0).cast("long"))
+    if not alone and sets is None:
+        return each.select("grp", seed, "y", total(features).alias("score"))
+    name = "feature" if alone else "feature_set"
+    each = each.select("grp", seed, "y", *[total(names).alias(f"t{i}") for i, (_, names) in enumerate([(c, [c]) for c in features] if alone else sets)])
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(f"t{i}").alias("score")) for i, c in enumerate(features if alone else [n for n, _ in sets])]))
+    out = each.select("grp", "seed", "y", named.alias("x")).select("grp", "seed", "y", f"x.{name}", "x.score")
+    return out if of is None else out.filter(of)
 
 
 def subset_sizes(frame: DataFrame) -> DataFrame:
@@ -122,21 +125,14 @@ def screen(frame: DataFrame, base: list[str], hypotheses: list[tuple[str, str |
     A hypothesis fires if its lift reaches the threshold that recordings are compared by. One without a column, or whose
     column frame (key, ys, columns) lacks, is listed as not tested.
     """
-    spark, tested = frame.sparkSession, [(h, c) for h, c in hypotheses if c in frame.columns]
-
-    def scored(features):
-        out = over_seeds(auc(bayes_scores(frame, features, seeds), ["grp", "seed"]), ["grp"])
-        return out.select(F.col("auc"), F.col("auc_stdev").alias("sd"))
-
+    spark, tested = frame.sparkSession, [(i, c) for i, (_, c) in enumerate(hypotheses) if c in frame.columns]
     every = dimension(spark, [(i, h, c) for i, (h, c) in enumerate(hypotheses)], "i int, hypothesis string, column_name string")
-    runs = [scored(base).select(F.lit(-1).alias("i"), "auc", "sd", F.lit(None).cast("double").alias("alone"))]
-    for i, (h, c) in enumerate(hypotheses):
-        if (h, c) in tested:
-            alone = scored([c]).select(F.lit(i).alias("i"), F.col("auc").alias("alone"))
-            runs.append(scored([*base, c]).withColumn("i", F.lit(i)).join(alone, "i").select("i", "auc", "sd", "alone"))
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
+    sets = [("-1:with", base)] + [x for i, c in tested for x in ((f"{i}:with", [*base, c]), (f"{i}:alone", [c]))]
+    # Every column is counted and scored once; each set of columns is one more sum of what has been looked up.
+    scored = bayes_scores(frame, list(dict.fromkeys([*base, *[c for _, c in tested]])), seeds, sets=sets)
+    scored = over_seeds(auc(scored, ["grp", "feature_set", "seed"]), ["grp", "feature_set"]).withColumn("i", F.substring_index("feature_set", ":", 1).cast("int"))
+    part = lambda c, kind: F.max(F.when(F.col("feature_set").endswith(kind), F.col(c)))
+    out = scored.groupBy("grp", "i").agg(part("auc", "with").alias("auc"), part("auc_stdev", "with").alias("sd"), part("auc", "alone").alias("alone")).drop("grp")
     plain = out.filter("i = -1").select(F.col("auc").alias("base"), F.col("sd").alias("base_sd"))
     noise = F.greatest((F.col("base_sd") + F.col("sd")) / 2, F.lit(FLOOR))
     threshold, lift = F.greatest(F.lit(LEAST_CHANGE), NOISES * noise), F.col("auc") - F.col("base")
