@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import boosting, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
+from .operators import agreement, boosting, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
 from .sources import tables
 from .sources.tables import dimension, parquet, select_available, written
 from .streaming import shifts
@@ -627,6 +627,18 @@ def event_shifts(spark, sf_dir):
 QUERIES["event_shifts"] = event_shifts
 
 
+@_over_files("lineitem")
+def table_agreement(lines):
+    """Line items against a second version of them, in which the first order's taxes changed, the last order's lines came
+    twice and those of an order between were lost: which rows are not held equally often."""
+    first, last = lines.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+    if first is None:
+        return agreement.differing(lines, lines, "l_orderkey")
+    key = F.col("l_orderkey")
+    changed = lines.filter(key != (first + last) // 2).withColumn("l_tax", F.when(key == first, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    return agreement.differing(lines, changed.unionAll(changed.filter(key == last)), "l_orderkey")
+
+
 # Walks over what pages point at
 
 

@@ -315,4 +315,8 @@ held AS (SELECT *, before >= start - INTERVAL 2 DAY AS known, greatest(0.02, 4 *
 SELECT user_id, start, n, round(mean, 6) AS mean, CASE WHEN known THEN round(mean - was, 6) END AS delta, CASE WHEN known AND noise + noise_was IS NOT NULL THEN round(threshold, 6) END AS threshold,
 CASE WHEN known IS NOT TRUE THEN 'first' WHEN noise + noise_was IS NULL THEN 'not_comparable' WHEN abs(mean - was) >= threshold THEN 'fires' ELSE 'silent' END AS status FROM held
 UNION ALL SELECT user_id, start, n, round(mean, 6), NULL, NULL, 'gone' FROM held WHERE next > start + INTERVAL 2 DAY OR (next IS NULL AND start + INTERVAL 3 DAY <= mark)""",
+    "table_agreement": """WITH e AS (SELECT min(l_orderkey) AS a, max(l_orderkey) AS z FROM lineitem),
+r AS (SELECT lineitem.* REPLACE (CASE WHEN l_orderkey = a THEN l_tax + 1 ELSE l_tax END AS l_tax) FROM lineitem, e WHERE l_orderkey <> (a + z) // 2),
+both_sides AS (SELECT *, 1 AS i, 0 AS j FROM lineitem UNION ALL SELECT *, 0, 1 FROM r UNION ALL SELECT r.*, 0, 1 FROM r, e WHERE l_orderkey = z)
+SELECT * EXCLUDE (i, j), sum(i)::BIGINT AS n_left, sum(j)::BIGINT AS n_right FROM both_sides GROUP BY ALL HAVING sum(i) <> sum(j)""",
 }
