@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import agreement, boosting, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
-from .sources import tables
+from .operators import agreement, boosting, columns, estate, governance, graph, identify, incidents, measure, paths, policy, warehouse
+from .sources import tables, versions
 from .sources.tables import dimension, parquet, select_available, written
 from .streaming import shifts
 
@@ -676,3 +676,70 @@ def page_paths(pages):
     end = paths.furthest(walked).agg(F.min_by("node", F.substring("node", 6, 20).cast("long")).alias("node")).first()["node"]
     steps, length = paths.shortest_edges(edges, start, end or start)
     return paths.all_paths(steps, length, start).select(F.concat_ws(" ", "path").alias("path"), F.lit(length).alias("hops"))
+
+
+# Every column of every given table
+
+
+#: The given tables.
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _over_given(f):
+    QUERIES[f.__name__] = lambda spark, sf_dir, **options: f({t: parquet(spark, sf_dir, t) for t in GIVEN}, **options)
+    return f
+
+
+def _declared_codes():
+    return {a: list(d.get("categories") or {}) for a, d in policy.declared().items()}
+
+
+@_over_given
+def codes_every_column(given):
+    """Which declared attributes' codes each column of each given table holds."""
+    return columns.coded(given, _declared_codes())
+
+
+@_over_given
+def identify_every_column(given):
+    """What names and values together say of each column of each given table."""
+    spark = given["region"].sparkSession
+    listed = dimension(spark, [(t, c, f"{t}.{c}") for t, df in given.items() for c in columns.scalar_columns(df)], "table_name string, name string, column_name string")
+    named = identify.by_name(listed.select(F.col("name").alias("column_name")).distinct(), policy.encodings(spark)).withColumnRenamed("column_name", "name")
+    named = listed.join(named, "name").select("column_name", "attribute", "strength")
+    held = columns.coded(given, _declared_codes()).select(F.concat_ws(".", "table_name", "column_name").alias("column_name"), "attribute")
+    said = identify.verdict(listed, named, held).withColumnRenamed("column_name", "full_name")
+    return listed.withColumnRenamed("column_name", "full_name").join(said, "full_name").select("table_name", F.col("name").alias("column_name"), "call", "attribute", "candidates")
+
+
+@_over_given
+def top_values_every_column(given):
+    """The 601 commonest values of each column of each given table, with counts."""
+    return columns.top_values(given)
+
+
+@_over_given
+def types_every_column(given):
+    """Each given table written as text, and the types that its text has."""
+    return columns.text_types({t: df.select(*[columns.text(df, c).alias(c) for c in columns.scalar_columns(df)]) for t, df in given.items()})
+
+
+def tables_loaded_together(spark, sf_dir):
+    """Orders and their lines loaded as one version, then without the filled orders as a second one: what each version holds."""
+    path = tables.fresh_folder(spark, "versions")
+    orders, lines = (parquet(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    versions.load_together(spark, path, {"orders": orders, "lineitem": lines})
+    kept = versions.read_together(spark, path)["orders"].filter("o_orderstatus IS DISTINCT FROM 'F'")
+    versions.load_together(spark, path, {"orders": kept, "lineitem": lines.join(kept, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")})
+    every = None
+    for number in versions.numbers(spark, path):
+        bound = versions.read_together(spark, path, number)
+        per = bound["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"))
+        both = bound["orders"].select("o_orderkey", F.lit(True).alias("known")).join(per, "o_orderkey", "full")
+        counts = [F.count("known").alias("n_orders"), F.coalesce(F.sum("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("lines"))), F.lit(0)).alias("n_orphans")]
+        row = both.agg(*counts).select(F.lit(number).alias("version"), "n_orders", "n_lines", "n_orphans")
+        every = row if every is None else every.unionAll(row)
+    return every
+
+
+QUERIES["tables_loaded_together"] = tables_loaded_together

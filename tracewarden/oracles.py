@@ -35,6 +35,36 @@ def hand_edges() -> list[tuple]:
     return out
 
 
+#: The given tables and their columns of single values; behind a column: i whole number, f fraction, t text, s time.
+GIVEN = """
+region r_regionkey:i r_name:t
+nation n_nationkey:i n_name:t n_regionkey:i
+customer c_custkey:i c_name:t c_nationkey:i c_acctbal:f c_mktsegment:t
+supplier s_suppkey:i s_name:t s_nationkey:i s_acctbal:f
+part p_partkey:i p_name:t p_brand:t p_type:t p_size:i p_retailprice:f
+orders o_orderkey:i o_custkey:i o_orderstatus:t o_totalprice:f o_orderdate:s o_orderpriority:t
+lineitem l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:f l_extendedprice:f l_discount:f l_tax:f l_returnflag:t l_linestatus:t l_shipdate:s
+events event_id:i ts:s user_id:i event_type:t value:f props:t
+documents doc_id:i text:t lang:t source:t n_chars:i
+embeddings vec_id:i label:i
+pages page_id:i url:t html:t
+benchmark item_id:i text:t
+labels doc_id:i quality:i toxic:i
+conversations conv_id:i turn:i role:t text:t
+"""
+
+
+def given_cells() -> str:
+    """(table_name, column_name, number, value, exact): every value of every given table as text; fractions with six places."""
+    out = []
+    for line in GIVEN.strip().split("\n"):
+        table, *columns = line.split()
+        for column, kind in (c.split(":") for c in columns):
+            value = f'"{column}"::DECIMAL(38, 6)::VARCHAR' if kind == "f" else f'"{column}"::VARCHAR'
+            out.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, {kind in 'if'} AS number, {value} AS value FROM {table} WHERE \"{column}\" IS NOT NULL")
+    return " UNION ALL ".join(out)
+
+
 _CODES = [(a, str(c)) for a, d in policy.declared().items() for c in (d.get("categories") or {})]
 _ATTRIBUTES = [(a, d["column"], d["kind"], None if d.get("reference") is None else str(d["reference"]), len(d.get("categories") or {})) for a, d in policy.declared().items()]
 _RESTRICTED = [(r, a, x.get("basis", "prohibited"), x.get("citation", p["citation"])) for r, p in policy.packs().items() for a, x in p["restricted"].items()]
@@ -97,6 +127,19 @@ ali AS (SELECT DISTINCT attribute, a FROM al0 WHERE a NOT IN ('pums', '')),
 nam AS (SELECT column_name, attribute, CASE WHEN bool_or(list_contains(string_split(p, ' '), a) OR replace(a, '_', ' ') = p) THEN 'exact' ELSE 'loose' END AS strength
         FROM norm, ali WHERE list_contains(string_split(p, ' '), a) OR replace(a, '_', ' ') = p OR (length(a) > 3 AND contains(p, a)) GROUP BY ALL)
 """
+CODED = f"""
+cel AS ({given_cells()}),
+cnt AS (SELECT table_name, column_name, number, CASE WHEN number THEN regexp_replace(value, '\\.0+$', '') ELSE value END AS value, count(*) AS n FROM cel GROUP BY ALL),
+prof AS (SELECT *, sum(n) OVER w AS total FROM cnt WINDOW w AS (PARTITION BY table_name, column_name) QUALIFY count(*) OVER w <= 600),
+codes(attribute, number, value) AS {values([(a, int(not isinstance(c, str)), str(c)) for a, d in policy.declared().items() for c in (d.get("categories") or {})])},
+hit AS (SELECT table_name, column_name, attribute, count(*) AS present, sum(n) AS inside, any_value(total) AS total FROM prof JOIN codes ON prof.value = codes.value AND prof.number = (codes.number = 1) GROUP BY ALL),
+coded AS (SELECT table_name, column_name, attribute, round(present / k, 4) AS covered, round(1 - inside / total, 4) AS stray FROM hit JOIN (SELECT attribute, count(*) AS k FROM codes GROUP BY 1) USING (attribute)
+          WHERE round(1 - inside / total, 4) <= 0.02 AND round(present / k, 4) >= 0.5)
+"""
+_LISTED = "SELECT unnest(['segment', 'status_code', 'nation_name', 'priority_code', 'order_ref', 'account_balance', 'mystery', 'applicant_sex', 'RAC1P', 'place_of_birth_code', 'marketplace']) AS column_name"
+_GIVEN_COLUMNS = [(line.split()[0], c.split(":")[0]) for line in GIVEN.strip().split("\n") for c in line.split()[1:]]
+#: Names of all given columns against the aliases, by the rules of IDENT.
+NAMED = IDENT[IDENT.index("cols AS") :].replace(_LISTED, f"SELECT DISTINCT column_name FROM {values(_GIVEN_COLUMNS)} g(table_name, column_name)")
 FRAME = f"""
 {DIM},
 px AS (SELECT *, CASE WHEN md5('p:' || order_id)[1] < 'c' THEN segment ELSE 'x' END AS proxy FROM dim),
@@ -319,4 +362,25 @@ UNION ALL SELECT user_id, start, n, round(mean, 6), NULL, NULL, 'gone' FROM held
 r AS (SELECT lineitem.* REPLACE (CASE WHEN l_orderkey = a THEN l_tax + 1 ELSE l_tax END AS l_tax) FROM lineitem, e WHERE l_orderkey <> (a + z) // 2),
 both_sides AS (SELECT *, 1 AS i, 0 AS j FROM lineitem UNION ALL SELECT *, 0, 1 FROM r UNION ALL SELECT r.*, 0, 1 FROM r, e WHERE l_orderkey = z)
 SELECT * EXCLUDE (i, j), sum(i)::BIGINT AS n_left, sum(j)::BIGINT AS n_right FROM both_sides GROUP BY ALL HAVING sum(i) <> sum(j)""",
+    "codes_every_column": f"WITH {CODED} SELECT * FROM coded",
+    "identify_every_column": f"""WITH {CODED}, {NAMED}, given(table_name, column_name) AS {values(_GIVEN_COLUMNS)},
+      e AS (SELECT table_name, column_name, coalesce((SELECT list(attribute ORDER BY attribute) FROM nam n WHERE n.column_name = g.column_name AND strength = 'exact'), []) AS ex,
+        coalesce((SELECT list(attribute ORDER BY attribute) FROM nam n WHERE n.column_name = g.column_name AND strength = 'loose'), []) AS lo,
+        coalesce((SELECT list(attribute ORDER BY attribute) FROM coded v WHERE v.table_name = g.table_name AND v.column_name = g.column_name), []) AS va FROM given g),
+      a AS (SELECT *, CASE WHEN len(list_intersect(ex, va)) = 1 THEN list_intersect(ex, va)[1] WHEN len(ex) = 1 AND len(va) = 0 THEN ex[1] WHEN len(va) = 1 AND len(ex) = 0 THEN va[1]
+        WHEN len(va) > 1 AND len(list_intersect(va, list_concat(ex, lo))) = 1 THEN list_intersect(va, list_concat(ex, lo))[1] END AS attribute FROM e),
+      c AS (SELECT *, CASE WHEN attribute IS NOT NULL THEN 'identified' WHEN len(va) > 1 OR len(lo) > 0 THEN 'ambiguous' ELSE 'unknown' END AS call FROM a)
+      SELECT table_name, column_name, call, attribute, CASE WHEN call = 'ambiguous' THEN array_to_string(CASE WHEN len(va) > 1 THEN va ELSE lo END, ',') END AS candidates FROM c""",
+    "top_values_every_column": f"""WITH cel AS ({given_cells()}), n AS (SELECT table_name, column_name, CASE WHEN length(value) > 64 THEN 'sha256:' || sha256(value) ELSE value END AS value, count(*) AS n FROM cel GROUP BY ALL)
+      SELECT table_name, column_name, row_number() OVER (PARTITION BY table_name, column_name ORDER BY n DESC, value)::INT AS place, value, n FROM n QUALIFY place <= 601""",
+    "types_every_column": f"""WITH cel AS ({given_cells()}), f AS (SELECT table_name, column_name, value FROM cel WHERE value <> ''),
+      t AS (SELECT table_name, column_name, count(*) AS filled, bool_and(lower(value) IN ('true', 'false')) AS b, bool_and(regexp_full_match(value, '[+-]?[0-9]{{1,18}}')) AS i,
+        bool_and(regexp_full_match(value, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{{1,3}})?')) AS r, bool_and(length(value) = 10 AND TRY_CAST(value AS DATE) IS NOT NULL) AS d,
+        bool_and(length(value) BETWEEN 10 AND 32 AND regexp_matches(value, '^[0-9]{{4}}-') AND TRY_CAST(value AS TIMESTAMP) IS NOT NULL) AS m FROM f GROUP BY ALL),
+      g(table_name, column_name) AS {values(_GIVEN_COLUMNS)}
+      SELECT table_name, column_name, coalesce(filled, 0) AS filled, CASE WHEN b THEN 'boolean' WHEN i THEN 'long' WHEN r THEN 'double' WHEN d THEN 'date' WHEN m THEN 'timestamp' ELSE 'string' END AS type FROM g LEFT JOIN t USING (table_name, column_name)""",
+    "tables_loaded_together": """WITH o AS (SELECT 1 AS version, o_orderkey FROM orders UNION ALL SELECT 2, o_orderkey FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'),
+l AS (SELECT 1 AS version, l_orderkey FROM lineitem UNION ALL SELECT 2, l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o WHERE version = 2))
+SELECT version::INT AS version, (SELECT count(*) FROM o WHERE o.version = v.version) AS n_orders, (SELECT count(*) FROM l WHERE l.version = v.version) AS n_lines,
+(SELECT count(*) FROM l WHERE l.version = v.version AND l_orderkey NOT IN (SELECT o_orderkey FROM o WHERE o.version = v.version)) AS n_orphans FROM (VALUES (1), (2)) v(version)""",
 }
