@@ -83,22 +83,36 @@ def coded(tables: dict[str, DataFrame], declared: dict[str, list], most: int = M
     if not attributes:
         return dimension(spark, [], "table_name string, column_name string, attribute string, covered double, stray double")
     words = 1 + max(b for hits in index.values() for _, b in hits) // WORD
-    plain = F.when(F.col("number"), F.regexp_replace("value", r"\.0+$", "")).otherwise(F.col("value"))
-    key = F.concat(F.when(F.col("number"), F.lit("n:")).otherwise(F.lit("t:")), plain)
+    masks = [{k: m for k, hits in index.items() if (m := sum(1 << (b % WORD) for _, b in hits if b // WORD == w))} for w in range(words)]
 
-    def lookup(masks: dict[str, int]) -> Column:
-        pairs = F.create_map(*[F.lit(x) for k, m in masks.items() for x in (k, m)])
-        return F.coalesce(F.try_element_at(pairs, key), F.lit(0).cast("long"))
+    def lookup(raw: Column, number: bool, w: int) -> Column:
+        known = {code: m for (n, code), m in masks[w].items() if n == number}
+        if not known:
+            return F.lit(0).cast("long")
+        pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+        # The set is hashed and most values are in none, the map is searched through.
+        return F.when(raw.isin(list(known)), F.try_element_at(pairs, raw)).otherwise(0).cast("long")
 
-    names = {k: ("n:" if k[0] else "t:") + k[1] for k in index}
-    found = [lookup({names[k]: m for k, hits in index.items() if (m := sum(1 << (b % WORD) for _, b in hits if b // WORD == w))}).cast("long").alias(f"w{w}") for w in range(words)]
+    parts = []
+    for name, df in tables.items():
+        listed = []
+        for c in scalar_columns(df):
+            raw, kind = F.col(f"`{c}`"), df.schema[c].dataType
+            if isinstance(kind, (T.StringType, T.NumericType)):  # no code is a truth value or a time
+                number = is_number(df, c)
+                whole = F.when(raw == F.floor(raw), raw.try_cast("long").cast("string")) if number and not isinstance(kind, T.IntegralType) else raw.cast("string")
+                listed.append(F.struct(F.lit(c).alias("column_name"), raw.isNotNull().alias("there"), *[lookup(whole, number, w).alias(f"w{w}") for w in range(words)]))
+        if listed:
+            parts.append(df.select(F.lit(name).alias("table_name"), F.inline(F.array(*listed))).filter("there"))
+    if not parts:
+        return dimension(spark, [], "table_name string, column_name string, attribute string, covered double, stray double")
     own = {a: [sum(1 << (b % WORD) for hits in index.values() for at, b in hits if at == a and b // WORD == w) for w in range(words)] for a in attributes}
 
     def both(a: str) -> list[Column]:
         return [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) for w, m in enumerate(own[a]) if m]
 
     inside = [F.count_if(reduce(Column.__or__, [x != 0 for x in both(a)])).alias(f"in_{i}") for i, a in enumerate(attributes)]
-    per = cells(tables).select("table_name", "column_name", *found).groupBy("table_name", "column_name")
+    per = reduce(DataFrame.unionAll, parts).groupBy("table_name", "column_name")
     per = per.agg(F.count(F.lit(1)).alias("total"), *[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(words)], *inside)
     each = F.array(*[F.struct(F.lit(a).alias("attribute"), reduce(Column.__add__, [F.bit_count(x) for x in both(a)]).alias("present"), F.lit(sizes[a]).alias("k"), F.col(f"in_{i}").alias("inside")) for i, a in enumerate(attributes)])
     out = per.select("table_name", "column_name", "total", F.inline(each))
@@ -146,13 +160,20 @@ def top_values(tables: dict[str, DataFrame], most: int = MOST_VALUES + 1, tracke
 
 
 def kinds(value: Column) -> Column:
-    """The set of types, a bit each, that one text is a value of; null for null and empty text, which fit any."""
-    whole, real = value.rlike(WHOLE), value.rlike(REAL)
+    """The set of types, a bit each, that one text is a value of; null for null and empty text, which fit any.
+
+    The forms exclude each other, so that the first that fits decides; most texts fail by their first sign.
+    """
+
+    def bits(*names: str) -> Column:
+        return F.lit(sum(1 << TYPES.index(n) for n in (*names, "string")))
+
     day, moment = value.rlike(DAY) & value.try_cast("date").isNotNull(), value.rlike(MOMENT) & value.try_cast("timestamp").isNotNull()
-    tests = [F.lower(value).isin("true", "false"), whole, real, day, day | moment, F.lit(True)]
-    bits = reduce(Column.__add__, [F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)])
     # Nothing but text is longer than 400 signs: digits without end are no number that a double tells apart.
-    return F.when(F.length(value) > 400, 1 << TYPES.index("string")).when(value != "", bits)
+    out = F.when((F.length(value) > 400) | ~F.ascii(value).isin([ord(c) for c in "+-.0123456789tTfF"]), bits())
+    out = out.when(value.rlike(WHOLE), bits("long", "double")).when(value.rlike(REAL), bits("double"))
+    out = out.when((F.length(value) == 10) & day, bits("date", "timestamp")).when((F.length(value) > 18) & moment, bits("timestamp"))
+    return F.when(value != "", out.when(F.lower(value).isin("true", "false"), bits("boolean")).otherwise(bits()))
 
 
 def text_types(raw: dict[str, DataFrame]) -> DataFrame:
@@ -162,10 +183,15 @@ def text_types(raw: dict[str, DataFrame]) -> DataFrame:
     text allows, so partial results merge in any order. Null and empty texts are nulls; columns of nothing else are string.
     Whole numbers of more than 18 digits are double, days that no calendar has and texts of more than 400 characters string.
     """
-    parts = []
+    parts, narrow = [], lambda bits: reduce(lambda out, i: F.when(bits.bitwiseAND(1 << i) != 0, TYPES[i]).otherwise(out), reversed(range(len(TYPES))), F.lit("string"))
     for name, df in raw.items():
-        each = F.array(*[F.struct(F.lit(c).alias("column_name"), kinds(F.col(f"`{c}`").cast("string")).alias("bits")) for c in scalar_columns(df)])
-        parts.append(df.select(F.lit(name).alias("table_name"), F.inline(each)))
-    per = reduce(DataFrame.unionAll, parts).groupBy("table_name", "column_name").agg(F.bit_and("bits").alias("bits"), F.count("bits").alias("filled"))
-    narrow = reduce(lambda out, i: F.when(F.col("bits").bitwiseAND(1 << i) != 0, TYPES[i]).otherwise(out), reversed(range(len(TYPES))), F.lit("string"))
-    return per.select("table_name", "column_name", narrow.alias("type"), "filled")
+        listed = scalar_columns(df)
+        if listed:
+            # One row of sums a task: nothing is keyed or laid out a cell.
+            sets = df.select(*[kinds(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(listed)])
+            sums = sets.agg(F.count(F.lit(1)).alias("rows"), *[x for i in range(len(listed)) for x in (F.bit_and(f"c{i}").alias(f"b{i}"), F.count(f"c{i}").alias(f"n{i}"))]).filter("rows > 0")
+            each = F.array(*[F.struct(F.lit(c).alias("column_name"), narrow(F.col(f"b{i}")).alias("type"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(listed)])
+            parts.append(sums.select(F.lit(name).alias("table_name"), F.inline(each)))
+    if not parts:
+        return dimension(next(iter(raw.values())).sparkSession, [], "table_name string, column_name string, type string, filled long")
+    return reduce(DataFrame.unionAll, parts)
