@@ -118,6 +118,35 @@ def test_near_buckets_of_many_unlike_members(make, monkeypatch):
     assert got == brute_components(range(len(texts)), links) and asked and asked[0] > 1000
 
 
+def test_members_meet_their_components_once(spark, make, monkeypatch):
+    """A member of a bucket is joined with its component once, and after second centres only where its bucket was open."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WIDE", 12)
+    made, given = spark.sparkContext.accumulator(0), []
+
+    @F.udf("long")
+    def counted(comp):
+        made.add(1)
+        return comp
+
+    whole = near_dedup.with_components
+
+    def watched(members, label):
+        rows = whole(members, label)
+        given.append((rows.count(), rows.select("bucket").distinct().count()))
+        assert given[-1][0] <= members.count()
+        return rows.withColumn("comp", counted("comp"))
+
+    monkeypatch.setattr(near_dedup, "with_components", watched)
+    own = lambda k, n: [f"{k}x{i}" for i in range(n)]
+    # One group is unlike but for a passage, the other's texts are all nearly the same.
+    texts = [" ".join(own("p", 120) + own(k, 35)) for k in range(60)] + [" ".join([*own("q", 150), f"z{k}"]) for k in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(make(texts)).collect()}
+    assert got == expected(list(enumerate(texts)), 4)
+    assert len(given) == 2 and given[1][0] < given[0][0] and given[1][1] < given[0][1]
+    assert made.value == sum(n for n, _ in given)
+
+
 def test_near_ids_with_several_texts(make):
     """An id that repeats with texts of two classes joins them, though it represents neither."""
     one, two = "a b c d e f g h", "i j k l m n o p"

@@ -363,20 +363,21 @@ def band_of(band: str):
 
 def opened(rows: DataFrame) -> DataFrame:
     """Of rows (bucket, id, comp, ...), those in buckets with several components, with n (members), largest (the component
-    with most members) and inside (how many that has). Written."""
+    with most members) and inside (how many that has). Written, as rows are first, which are read twice."""
+    rows = written(rows, "labelled-members")
     counts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
     stats = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("inside"), F.count(F.lit(1)).alias("comps"))
     stats = written(stats.filter("comps > 1").drop("comps"), "open-buckets")
     bitmap = key_bitmap(stats, "bucket")
     some = flag_by_bitmap(rows, "bucket", *bitmap, "open").filter("open").drop("open")
     out = written(join_hot(some, stats, "bucket", "n", "id"), "open-members")
-    drop(stats, bitmap[0])
+    drop(rows, stats, bitmap[0])
     return out
 
 
 def with_components(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(bucket, band, id, comp) of all members but centres."""
-    rows = members.filter("id <> centre").join(label, "id", "left")
+    """(bucket, band, id, comp) of members: one row each, as label holds an id once."""
+    rows = members.select("bucket", "band", "id").join(label, "id", "left")
     return rows.select("bucket", "band", "id", F.coalesce("component", "id").alias("comp"))
 
 
@@ -427,11 +428,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, threshold: int = THRE
     links = search.stars(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()).unionByName(same)
     label = components(links)
 
-    rest = opened(with_components(members, label))
+    rest = opened(with_components(members.filter("id <> centre"), label))
     wide = rest.filter(F.col("n") > WIDE)
     if not wide.isEmpty():
         links, label = joined(links, label, search.stars(search.medoids(wide)))
-        rest = opened(with_components(members, label))
+        # Components only grow together, so that a bucket that was not open before is not open now.
+        before, rest = rest, opened(with_components(rest, label))
+        drop(before)
     if not rest.isEmpty():
         label = joined(links, label, search.tiles(rest))[1]
     drop(members, reps)
