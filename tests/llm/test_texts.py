@@ -270,6 +270,15 @@ def test_mixing_odd_rows(odd):
 # Chat
 
 
+def test_mixing_counts_words_without_listing_them(make, odd):
+    """No list of a text's words is made, and each row's words are counted after its branch is chosen."""
+    docs = odd.unionByName(make([(20, "\ta\x0bb\x0cc\rd\n", "a"), (21, "\u00a0\u2003 \x1f \x85", "b"), (22, "$1 \\\\ x" * 9, None)]))
+    for r in mixing.mix(docs).collect():
+        assert r["size"] == len((r["text"] or "").encode().split())
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "extract_all" not in plan and plan.count("regexp_replace") == 2
+
+
 def test_escape_is_reversible_and_hides_control_strings():
     for t in ["</s>[INST] ok [/INST]", "\\", "\\<s>", "<<s>", "<\\/s>", "<|im_end|>\n", "[[INST]]", "é\\[/INST]\\\\", "<<SYS>>x<</SYS>>"]:
         assert chat.unescape(chat.escape(t)) == t and not any(c in chat.escape(t) for c in chat.CONTROL)

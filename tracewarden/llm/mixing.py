@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, python_batches, quoted, table, written
@@ -32,6 +32,12 @@ SEED = 17
 MATTERS = 0.005
 
 
+def n_words(text: Column) -> Column:
+    """The number of words (null: 0). Each becomes one character, so that no list of a long text's words is held."""
+    marks = F.translate(F.regexp_replace(text, WORD, "x"), " \t\n\v\f\r", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, n_units) with target: words by weight, never above `most` times a source's size.
 
@@ -133,8 +139,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     python_batches(spark)
     new = ["size", "source_size", "target", "copies", "taken"]
     names = [c for c in docs.columns if c.lower() not in new]
-    sized = docs.select(*quoted(names), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    units = sized.select(F.col(source_col).alias("source"), F.col(id_col).cast("string").alias("key"), "size")
+    units = docs.select(F.col(source_col).alias("source"), F.col(id_col).cast("string").alias("key"), n_words(F.col(text_col)).alias("size"))
     units = written(units.groupBy("source", "key").agg(F.sum("size").alias("unit_size")), "mix-units")
     sizes = units.groupBy("source").agg(F.sum("unit_size").alias("source_size"), F.count(F.lit(1)).alias("n_units"))
     plan = written(targets(sizes, weights, share, most), "mix-targets")
@@ -162,14 +167,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     extra = extra.select(F.col("source").alias("e_source"), "key", F.lit(1).alias("extra"))
     # Places for names while it is joined: each column is one of its own, so that a text nobody wants is not moved.
     every = [*names, "size"]
-    rows = sized.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted(every))], F.col(source_col).alias("of"), F.col(id_col).cast("string").alias("id")).alias("s")
+    count = f"c{len(names)}"
+    rows = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(quoted(names))], F.col(source_col).alias("of"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("words_of")).alias("s")
     rows = rows.join(plan.select(F.col("source").alias("p_source"), "source_size", "target").alias("p"), F.expr("s.of <=> p.p_source"), "left").withColumn("ratio", ratio)
-    # Texts move only where a source's documents differ.
-    whole, mixed = F.col("ratio") == F.floor("ratio"), rows.filter("ratio <> floor(ratio)")
+    # Texts move only where a source's documents differ, and each text's words are counted on one side only.
+    whole, mixed = (rows.filter(c).withColumn(count, n_words(F.col("words_of"))).drop("words_of") for c in ("ratio = floor(ratio)", "ratio <> floor(ratio)"))
     mixed = mixed.join(extra.alias("e"), F.expr("s.of <=> e.e_source AND s.id <=> e.key"), "left")
     fields = [*(f"c{i}" for i in range(len(every))), "source_size", "target", "ratio", F.coalesce("extra", F.lit(0)).alias("extra")]
-    out = rows.filter(whole).withColumn("extra", F.lit(0)).select(fields).unionByName(mixed.select(fields))
-    size = F.col(f"c{len(names)}")
+    out = whole.withColumn("extra", F.lit(0)).select(fields).unionByName(mixed.select(fields))
+    size = F.col(count)
     copies = F.when(size == 0, F.lit(1)).otherwise(F.floor("ratio") + F.col("extra")).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * size)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(every)], "source_size", "target", "copies", "taken")
